@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import media, secrets, sharding
 
 
 def queries() -> dict:
     return {
         "op1_bfd_shards": sharding.query,
+        "op3_avi_clips": media.query,
+        "op10_secret_spans": secrets.query,
     }
 
 
