@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from . import media, secrets, sharding
+from . import media, packing, secrets, sharding, tokens, warc
+
+
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+d AS (SELECT page_id, n, sha256(html) AS digest, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY sha256(html)) ELSE page_id END AS first_id FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM d
+"""
 
 
 def queries() -> dict:
     return {
         "op1_bfd_shards": sharding.query,
         "op3_avi_clips": media.query,
+        "op5_token_files": tokens.query,
+        "op6_cutting_stock": packing.query,
+        "op7_warc_chain": warc.query,
         "op10_secret_spans": secrets.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op7_warc_chain": OP7}

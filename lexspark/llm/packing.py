@@ -58,21 +58,47 @@ def fit_rest(left: dict[int, int], room: int) -> list[tuple[dict[int, int], int]
     return out
 
 
+def first_basis(lengths: list[int], need: np.ndarray, room: int) -> list[dict[int, int]]:
+    """As many independent patterns as lengths, feasible for the linear program: each takes the longest pieces left that fit and is used, in fractions too, until one length is spent."""
+    left = {k: float(v) for k, v in zip(lengths, need, strict=True)}
+    out = []
+    while left:
+        pattern, c = {}, room
+        for k in sorted(left, reverse=True):
+            if k <= c:
+                pattern[k] = c // k
+                c -= pattern[k] * k
+        spent = min(pattern, key=lambda k: left[k] / pattern[k])
+        times = left.pop(spent) / pattern[spent]
+        out.append(pattern)
+        for k, n in pattern.items():
+            if k in left:
+                left[k] = max(left[k] - n * times, 0.0)
+    return out
+
+
 def cutting_stock(histogram: dict[int, int], room: int = LENGTH, gap: float = 1e-3, rounds: int = 300) -> list[tuple[dict[int, int], int]]:
     """Patterns (length -> how many) with how often each is used, which hold all pieces of a length histogram.
 
     Column generation: a linear program over patterns is solved by the revised simplex method; its dual prices value the lengths, the knapsack prices the next pattern, and Farley's bound ends the search within `gap` of the optimum (or after `rounds`). The solution is rounded down, and what is left over is packed by best fit.
     """
-    lengths = sorted(k for k, v in histogram.items() if v > 0)
+    used = [({k: 1}, v) for k, v in histogram.items() if k == room and v > 0]
+    histogram = {k: v for k, v in histogram.items() if k < room and v > 0}
+    lengths = sorted(histogram)
     if not lengths:
-        return []
+        return used
     place = {k: i for i, k in enumerate(lengths)}
     need = np.array([histogram[k] for k in lengths], float)
-    patterns = [{k: room // k} for k in lengths]
-    basis = np.diag([float(room // k) for k in lengths])
-    inverse = np.diag([1 / (room // k) for k in lengths])
-    x = inverse @ need
+    patterns = first_basis(lengths, need, room)
+    basis = np.zeros((len(lengths), len(lengths)))
+    for j, pattern in enumerate(patterns):
+        for k, n in pattern.items():
+            basis[place[k], j] = n
+    inverse = np.linalg.inv(basis)
+    x = np.maximum(inverse @ need, 0)
     for r in range(rounds):
+        if x.sum() <= (1 + gap) * float(need @ lengths) / room:  # no packing needs less than the ids' own volume
+            break
         duals = inverse.sum(axis=0)
         value = np.zeros(room + 1)
         value[lengths] = duals
@@ -94,7 +120,7 @@ def cutting_stock(histogram: dict[int, int], room: int = LENGTH, gap: float = 1e
             inverse -= np.outer(d, row)
             inverse[out] = row
         x = np.maximum(inverse @ need, 0)
-    left, used = dict(histogram), []
+    left = dict(histogram)
     for i in np.argsort(-x):
         times = min([int(x[i] + 1e-9), *(left[k] // n for k, n in patterns[i].items())])
         if times > 0:
@@ -129,6 +155,13 @@ def pack(pieces: DataFrame, order: list[str], room: int = LENGTH) -> DataFrame:
     return found.withColumns({"sequence_id": F.expr("_p.sequence + _at div _p.times"), "offset": F.expr("_p.offset + (_at % _p.times) * length")}).drop("_plan", "_p", "_at")
 
 
+def cuts(n: int, room: int) -> list[int]:
+    """The pieces of a document of n ids: full sequences, and a rest cut once more at half a sequence where it is longer, as short pieces leave little padding."""
+    full, rest = divmod(n, room)
+    half = room // 2
+    return [room] * full + ([half, rest - half] if rest > half else [rest] if rest else [])
+
+
 def token_pieces(docs: DataFrame, path: str, end: int, room: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """Pieces of at most `room` ids: (doc_id, start, length, ids_crc32, doc_tokens), and `ids` if asked for. Every document has one at least: its end id."""
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
@@ -138,9 +171,11 @@ def token_pieces(docs: DataFrame, path: str, end: int, room: int = LENGTH, with_
 
     def rows(doc, raw: bytes):
         n = len(raw) // 4
-        for at in range(0, n, room):
-            part = raw[4 * at : 4 * (at + room)]
-            yield (doc, at, len(part) // 4, zlib.crc32(part), n, *([np.frombuffer(part, np.int32)] * with_ids))
+        at = 0
+        for length in cuts(n, room):
+            part = raw[4 * at : 4 * (at + length)]
+            yield (doc, at, length, zlib.crc32(part), n, *([np.frombuffer(part, np.int32)] * with_ids))
+            at += length
 
     return encoded(docs, path, end, rows, pa.schema(fields), ddl)
 
