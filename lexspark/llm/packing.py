@@ -58,10 +58,14 @@ def fit_rest(left: dict[int, int], room: int) -> list[tuple[dict[int, int], int]
     return out
 
 
-def first_basis(lengths: list[int], need: np.ndarray, room: int) -> list[dict[int, int]]:
-    """As many independent patterns as lengths, feasible for the linear program: each takes the longest pieces left that fit and is used, in fractions too, until one length is spent."""
+def first_basis(lengths: list[int], need: np.ndarray, room: int) -> tuple[list[dict[int, int]], np.ndarray]:
+    """As many independent patterns as lengths, feasible for the linear program, and the inverse of their matrix.
+
+    Each pattern takes the longest pieces left that fit and is used, in fractions too, until one length is spent; later patterns don't hold that length, so the matrix is triangular in the order in which lengths are spent.
+    """
+    place = {k: i for i, k in enumerate(lengths)}
     left = {k: float(v) for k, v in zip(lengths, need, strict=True)}
-    out = []
+    patterns, order = [], []
     while left:
         pattern, c = {}, room
         for k in sorted(left, reverse=True):
@@ -70,11 +74,20 @@ def first_basis(lengths: list[int], need: np.ndarray, room: int) -> list[dict[in
                 c -= pattern[k] * k
         spent = min(pattern, key=lambda k: left[k] / pattern[k])
         times = left.pop(spent) / pattern[spent]
-        out.append(pattern)
+        order.append(spent)
+        patterns.append(pattern)
         for k, n in pattern.items():
             if k in left:
                 left[k] = max(left[k] - n * times, 0.0)
-    return out
+    inverse = np.zeros((len(lengths), len(lengths)))
+    for i, k in enumerate(order):
+        row = np.zeros(len(lengths))
+        row[place[k]] = 1.0
+        for j in range(i):
+            if k in patterns[j]:
+                row -= patterns[j][k] * inverse[j]
+        inverse[i] = row / patterns[i][k]
+    return patterns, inverse
 
 
 def cutting_stock(histogram: dict[int, int], room: int = LENGTH, gap: float = 1e-3, rounds: int = 300) -> list[tuple[dict[int, int], int]]:
@@ -89,15 +102,11 @@ def cutting_stock(histogram: dict[int, int], room: int = LENGTH, gap: float = 1e
         return used
     place = {k: i for i, k in enumerate(lengths)}
     need = np.array([histogram[k] for k in lengths], float)
-    patterns = first_basis(lengths, need, room)
-    basis = np.zeros((len(lengths), len(lengths)))
-    for j, pattern in enumerate(patterns):
-        for k, n in pattern.items():
-            basis[place[k], j] = n
-    inverse = np.linalg.inv(basis)
-    x = np.maximum(inverse @ need, 0)
-    for r in range(rounds):
-        if x.sum() <= (1 + gap) * float(need @ lengths) / room:  # no packing needs less than the ids' own volume
+    patterns, inverse = first_basis(lengths, need, room)
+    times = lambda vector: np.einsum("ij,j->i", inverse, vector)  # noqa: E731  small; BLAS threads only get in each other's way here
+    x = np.maximum(times(need), 0)
+    for _ in range(rounds):
+        if x.sum() <= (1 + gap) * float((need * lengths).sum()) / room:  # no packing needs less than the ids' own volume
             break
         duals = inverse.sum(axis=0)
         value = np.zeros(room + 1)
@@ -108,25 +117,22 @@ def cutting_stock(histogram: dict[int, int], room: int = LENGTH, gap: float = 1e
         column = np.zeros(len(lengths))
         for k, n in pattern.items():
             column[place[k]] = n
-        d = inverse @ column
+        d = times(column)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(d > 1e-9, x / d, np.inf)
         out = int(np.argmin(ratio))
-        patterns[out], basis[:, out] = pattern, column
-        if r % 64 == 63:  # against rounding errors of the updates
-            inverse = np.linalg.inv(basis)
-        else:
-            row = inverse[out] / d[out]
-            inverse -= np.outer(d, row)
-            inverse[out] = row
-        x = np.maximum(inverse @ need, 0)
+        patterns[out] = pattern
+        row = inverse[out] / d[out]
+        inverse -= d[:, None] * row
+        inverse[out] = row
+        x = np.maximum(times(need), 0)
     left = dict(histogram)
     for i in np.argsort(-x):
-        times = min([int(x[i] + 1e-9), *(left[k] // n for k, n in patterns[i].items())])
-        if times > 0:
-            used.append((patterns[i], times))
+        most = min([int(x[i] + 1e-9), *(left[k] // n for k, n in patterns[i].items())])
+        if most > 0:
+            used.append((patterns[i], most))
             for k, n in patterns[i].items():
-                left[k] -= n * times
+                left[k] -= n * most
     return used + fit_rest(left, room)
 
 
