@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, packing, secrets, sharding, tokens, warc
+from . import media, neardup, packing, secrets, sharding, tokens, warc
 
 
 OP7 = """
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op5_token_files": tokens.query,
         "op6_cutting_stock": packing.query,
         "op7_warc_chain": warc.query,
+        "op8_setsketch_neardup": neardup.query,
         "op10_secret_spans": secrets.query,
     }
 
