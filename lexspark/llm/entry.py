@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, neardup, packing, secrets, sharding, tokens, warc
-
+from . import decontaminate, html, media, neardup, packing, quality, secrets, sharding, tokens, warc
 
 OP7 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
@@ -12,15 +11,25 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN
 """
 
 
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_bfd_shards": sharding.query,
+        "op2_simhash_leaks": decontaminate.query,
         "op3_avi_clips": media.query,
+        "op4_main_text": html.query,
         "op5_token_files": tokens.query,
         "op6_cutting_stock": packing.query,
         "op7_warc_chain": warc.query,
         "op8_setsketch_neardup": neardup.query,
+        "op9_byte_cnn_quality": quality.query,
         "op10_secret_spans": secrets.query,
+        "pipeline": _pipeline,
     }
 
 
