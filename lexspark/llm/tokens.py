@@ -24,13 +24,27 @@ _PIECES = {
 }
 
 
+class _Kept(dict):
+    """Pieces and their ids; what is missing is taken from the generation before or encoded."""
+
+    def __init__(self, encode: Callable, before: dict):
+        self.encode, self.before = encode, before
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file.
 
-    Texts repeat their words, so where the tokenizer's own splitting pattern is known, each different piece is encoded once and its ids are kept, in two generations of at most `keep` pieces; texts with characters for which the pattern isn't sure, or with special tokens' strings, are encoded whole. The ids are those of encoding each text whole.
+    Texts repeat their words, so where the tokenizer's own splitting pattern is known, each different piece is encoded once and its ids are kept, in two generations of about `keep` pieces; texts with characters for which the pattern isn't sure, or with special tokens' strings, are encoded whole. The ids are those of encoding each text whole.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 500_000):
         import os
 
         from tokenizers import Tokenizer
@@ -40,35 +54,15 @@ class Encoder:
         self.pieces = _PIECES.get(os.path.basename(path))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lower = path.endswith("word_bpe_49k.json")
-        self.keep, self.young, self.old = keep, {}, {}
-
-    def _fresh(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 5000):
-            part = pieces[k : k + 5000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.young[p] = np.array(e.ids, np.uint32).tobytes()
+        self.keep, self.kept = keep, _Kept(self.tokenizer.encode, {})
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.pieces is None or not _PLAIN.match(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found = self.pieces.findall(text.lower() if self.lower else text)
-        try:
-            return b"".join(map(self.young.__getitem__, found))
-        except KeyError:
-            pass
-        young, old = self.young, self.old
-        fresh = []
-        for p in set(found):
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
-                    fresh.append(p)
-        self._fresh(fresh)
-        out = b"".join(map(young.__getitem__, found))
-        if len(young) > self.keep:
-            self.old, self.young = young, {}
+        out = b"".join(map(self.kept.__getitem__, self.pieces.findall(text.lower() if self.lower else text)))
+        if len(self.kept) > self.keep:
+            self.kept = _Kept(self.tokenizer.encode, dict(self.kept))
         return out
 
 
