@@ -406,7 +406,7 @@ def weekday_roman(d: Column) -> Column:
 def code_variants(c: Column) -> Column:
     """All codes of a cell: the mark for a substitute is dropped, slashes part variants, blank ones go."""
     parts = F.split(F.replace(c, F.lit("(替)"), F.lit("")), "/", -1)
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_code(c: Column) -> Column:
@@ -418,7 +418,7 @@ def first_code(c: Column) -> Column:
 def gloss_words(c: Column) -> Column:
     """The words of a Mandarin gloss: notes in brackets go, sentences give none, words hold Han and have six characters at most."""
     bare = F.trim(F.regexp_replace(c, r"\([^)]*\)", ""))
-    parts = F.transform(F.split(bare, "[、，,;]"), F.trim)
+    parts = F.transform(F.split(bare, "[、，,;]"), lambda x: F.trim(x))
     return F.when(bare.rlike("[。！？；：]"), F.array().cast("array<string>")).otherwise(F.filter(parts, lambda w: w.rlike(HAN) & (F.length(w) <= 6)))
 
 
