@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
-    """One record per page as uncompressed WARC 1.0 files; null html is empty, a null url is left out, line breaks in urls become spaces.
+    """One record per page as WARC 1.0 files, each compressed as a whole by gzip; null html is empty, a null url is left out, line breaks in urls become spaces.
 
     Spark's text sink writes the records: each ends in two line ends, the last line feed of which is the sink's own separator. So any store that Spark can write to will do.
     """
@@ -56,7 +57,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"),
     )
-    rows.select(F.concat(head, body, F.lit("\r\n\r")).alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", "\n").text(path)
+    rows.select(F.concat(head, body, F.lit("\r\n\r")).alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).options(lineSep="\n", compression="gzip").text(path)
 
 
 _FIELDS = [("file", pa.string()), ("offset", pa.int64()), ("next", pa.int64()), ("exit", pa.int64()), ("block", pa.int64()), ("type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("declared", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
@@ -94,12 +95,13 @@ def candidates(content: bytes) -> list[dict]:
 
 
 def chain_rows(path: str, spark) -> DataFrame:
-    """Candidates of all files below a path."""
+    """Candidates of all files below a path, plain or compressed by gzip; offsets are those of the plain bytes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = candidates(content.as_py())
+                raw = content.as_py()
+                rows = candidates(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
                 yield pa.record_batch([pa.array([name.as_py()] * len(rows), pa.string()), *(pa.array([r[k] for r in rows], t) for k, t in _FIELDS[1:])], schema=pa.schema(_FIELDS))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(scan, _DDL)

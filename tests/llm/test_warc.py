@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 from lexspark.llm import html, warc
@@ -28,7 +29,7 @@ def test_chains_over_many_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 300)
     rows = [(i, f"u{i}", TRAP + str(i)) for i in range(40)]
     warc.write_warc(frame(spark, rows).coalesce(1), f"file://{tmp_path}/w")
-    content = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("*.txt")))
+    content = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("*.txt.gz")))
     found = warc.candidates(content)
     assert any(c["page_id"] == 999 for c in found)
     kept = [r.page_id for r in warc.read_warc(f"file://{tmp_path}/w", spark).collect()]
