@@ -19,8 +19,11 @@ def register(name: str, sql: str | None):
 
 
 def queries() -> dict:
+    from . import corpus_queries, lexicon_queries, string_queries  # noqa: F401  they register their queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    queries()
     return dict(ORACLE)
