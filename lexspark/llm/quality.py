@@ -16,6 +16,8 @@ from .common import utf8
 HALF = 256
 #: Learned filters, bytes that each sees, and lags at which a byte counts as an echo.
 FILTERS, WIDTH, LAGS = 16, 5, 32
+#: Bytes 0 before, between and after texts, so that neither filters nor echoes reach from one text into another.
+GAP = 48
 #: STEPS is the least number of batches.
 #: Labelled documents used for fitting at most, and halves taken from each, evenly spread over the whole text.
 SAMPLE, WINDOWS = 3000, 8
@@ -47,17 +49,19 @@ def symbols(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def batched(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' symbols in one array with WIDTH - 1 bytes 0 after each; the starts of the halves; how many halves each text has (none if empty)."""
-    parts, starts, counts, at = [], [], [], 0
+def batched(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' symbols in one array with GAP bytes 0 around each; the starts and ends of the halves; how many halves each text has (none if empty)."""
+    gap = b"\0" * GAP
+    parts, starts, ends, counts, at = [gap], [], [], [], GAP
     for t in texts:
         n = -(-len(t) // HALF)
         counts.append(n)
         starts.append(at + HALF * np.arange(n))
-        parts.append(t + b"\0" * (WIDTH - 1))
-        at += len(parts[-1])
-    raw = np.frombuffer(b"".join(parts), np.uint8)
-    return symbols(raw), np.concatenate(starts) if starts else np.zeros(0, np.int64), np.array(counts, np.int64)
+        ends.append(np.minimum(starts[-1] + HALF, at + len(t)))
+        parts += [t, gap]
+        at += len(t) + GAP
+    whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return symbols(np.frombuffer(b"".join(parts), np.uint8)), whole(starts), whole(ends), np.array(counts, np.int64)
 
 
 def convolved(net: Network, s: np.ndarray) -> np.ndarray:
@@ -70,14 +74,14 @@ def convolved(net: Network, s: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0, out=out)
 
 
-def pooled(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pooled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each text and filter: the largest chunk mean, the mean of all halves, and the first half of the largest chunk; and the halves' lengths."""
     texts = len(counts)
     top, mean, where = (np.zeros((texts, FILTERS), np.float32) for _ in range(3))
-    lengths = np.diff(np.append(starts, len(values))).astype(np.float32)
+    lengths = (ends - starts).astype(np.float32)
     if not len(starts):
         return top, mean, where.astype(np.int64), lengths
-    sums = np.add.reduceat(values, starts, axis=0)
+    sums = np.add.reduceat(values, np.stack([starts, ends], axis=1).reshape(-1), axis=0)[::2]  # what lies between the texts is in the odd rows
     some = np.flatnonzero(counts)
     first = np.cumsum(counts[some]) - counts[some]
     pair_sum, pair_len = sums.copy(), lengths.copy()
@@ -100,8 +104,8 @@ def pooled(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[
 
 def scores(net: Network, texts: list[bytes]) -> np.ndarray:
     """One probability per text, from all its chunks."""
-    s, starts, counts = batched(texts)
-    top, mean, _, _ = pooled(convolved(net, s), starts, counts)
+    s, starts, ends, counts = batched(texts)
+    top, mean, _, _ = pooled(convolved(net, s), starts, ends, counts)
     z = np.concatenate([top, mean], axis=1) @ net.weights + net.bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -124,11 +128,11 @@ def fitted(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
         for at in range(0, len(order), BATCH):
             take = order[at : at + BATCH]
             s = np.concatenate([ready[i][0] for i in take])
-            counts = np.concatenate([ready[i][2] for i in take])
+            counts = np.concatenate([ready[i][3] for i in take])
             shifts = np.cumsum([0, *(len(ready[i][0]) for i in take[:-1])])
-            starts = np.concatenate([ready[i][1] + d for i, d in zip(take, shifts, strict=True)]).astype(np.int64)
+            starts, ends = (np.concatenate([ready[i][k] + d for i, d in zip(take, shifts, strict=True)]).astype(np.int64) for k in (1, 2))
             values = convolved(net, s)
-            top, mean, where, lengths = pooled(values, starts, counts)
+            top, mean, where, lengths = pooled(values, starts, ends, counts)
             z = np.concatenate([top, mean], axis=1)
             p = 1 / (1 + np.exp(-np.clip(z @ net.weights + params[3][0], -30, 30)))
             g = (p - y[take]) / len(take)
@@ -146,8 +150,10 @@ def fitted(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
                     if last:
                         per_half[h + 1, f] += gz[i, f] / size
             flow = np.zeros_like(values)
-            lead = starts[0] if len(starts) else len(values)
-            flow[lead:] = np.repeat(per_half, lengths.astype(np.int64), axis=0)
+            inside = np.zeros(len(values) + 1, np.int8)
+            np.add.at(inside, starts, 1)
+            np.add.at(inside, ends, -1)
+            flow[np.cumsum(inside[:-1]) > 0] = np.repeat(per_half, lengths.astype(np.int64), axis=0)
             flow *= values > 0
             tables = np.empty_like(net.tables)
             for j in range(WIDTH):
@@ -191,8 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     return fitted([r[1] for r in rows if r[1]], [r[2] for r in rows if r[1]])
 
 
-def scored(docs: DataFrame, net: Network, columns: list[str]) -> DataFrame:
-    """`columns` of docs with `score`: the probability that a text (null: empty) is good, from every chunk of the whole text."""
+def scored(docs: DataFrame, net: Network, columns: list[str], name: str = "score") -> DataFrame:
+    """`columns` of docs and a further one, `name`: the probability that a text (null: empty) is good, from every chunk of the whole text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(net)
     at = len(columns)
@@ -208,32 +214,40 @@ def scored(docs: DataFrame, net: Network, columns: list[str]) -> DataFrame:
                     n += 1
                 out.append(_long(shared.value, texts[k]) if n == k + 1 and size > 1 << 20 else scores(shared.value, texts[k:n]))
                 k = n
-            yield pa.record_batch([*batch.columns[:at], pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*columns, "score"])
+            yield pa.record_batch([*batch.columns[:at], pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*columns, name])
 
-    schema = docs.select(*columns).schema.add("score", "double")
+    schema = docs.select(*columns).schema.add(name, "double")
     return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def _long(net: Network, text: bytes, part: int = 1 << 20) -> np.ndarray:
-    """The score of one very long text, by parts that overlap by a half; values at the seams differ by rounding alone."""
-    top, total, n = np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float64), 0
+    """The score of one very long text, by parts of whole halves that each see the half behind them and GAP bytes before: but for rounding that of the text in one piece."""
+    top, total = np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float64)
+    gap = b"\0" * GAP
     for at in range(0, len(text), part):
-        piece = text[at : at + part + HALF]
-        s, starts, counts = batched([piece])
+        if at and len(text) - at <= HALF:  # the last half alone is no chunk, but is in the chunk before
+            s = symbols(np.frombuffer(text[at - GAP : at] + text[at:] + gap, np.uint8))
+            total += convolved(net, s)[GAP : GAP + len(text) - at].sum(axis=0)
+            break
+        end = min(at + part + HALF, len(text))
+        s = symbols(np.frombuffer((text[at - GAP : at] if at else gap) + text[at : end + GAP] + (gap if end + GAP > len(text) else b""), np.uint8))
+        n = -(-(end - at) // HALF)
+        starts = GAP + HALF * np.arange(n)
+        ends = np.minimum(starts + HALF, GAP + end - at)
         values = convolved(net, s)
-        t, _, _, _ = pooled(values, starts, counts)
-        top = np.maximum(top, t[0])
-        own = values[: min(part, len(text) - at)]
-        total += own.sum(axis=0)
-        n += len(own)
-    z = np.concatenate([top, total / max(n, 1)]) @ net.weights + net.bias
+        top = np.maximum(top, pooled(values, starts, ends, np.array([n]))[0][0])
+        total += values[GAP : GAP + min(part, len(text) - at)].sum(axis=0, dtype=np.float64)
+    z = np.concatenate([top, total / max(len(text), 1)]) @ net.weights + net.bias
     return np.array([1 / (1 + np.exp(-np.clip(z, -30, 30)))])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """docs without those scored below THRESHOLD; fitted on `source` (docs if not given)."""
     net = fit(source or docs, labels)
-    return scored(docs, net, docs.columns).where(F.col("score") >= THRESHOLD).select(docs.columns)
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, net, docs.columns, name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_edited_passages_equal_brute_force(spark):
     d, i = frames(spark, docs, items)
     want = brute.leaks(docs, items)
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, i).collect()}
-    assert len(want) > 30 and got == want
+    assert len(want) > 20 and got == want
     assert {r.doc_id for r in decontaminate.without_leaks(d, i).collect()} == {x for x, _ in docs} - {x for x, _ in want}
 
 
