@@ -97,7 +97,7 @@ def bigram_count(spark, sf_dir):
 @register(
     "phrase_entries",
     f"""WITH pairs AS ({_PAIRS}),
-lex AS (SELECT text, code, weight FROM (SELECT upper(token) AS text, token AS code, count(*) AS weight FROM ({_stripped('documents')}) WHERE token <> '' GROUP BY token)),
+lex AS (SELECT text, code, weight FROM (SELECT '字' || token AS text, token AS code, count(*) AS weight FROM ({_stripped('documents')}) WHERE token <> '' GROUP BY token)),
 best AS (SELECT lower(code) AS k, arg_min(text, {{'a': -weight, 'b': code}}) AS text, arg_min(code, {{'a': -weight, 'b': code}}) AS code FROM lex WHERE NOT regexp_matches(code, '[1-9]') GROUP BY 1)
 SELECT a.text || b.text AS hanlo, a.code || ' ' || b.code AS rime_key, max(trunc(500 * (1 + log10(1 + cnt) * 0.3)))::INTEGER AS weight
 FROM pairs JOIN best a ON a.k = lower(w1) JOIN best b ON b.k = lower(w2) WHERE cnt >= 5 AND NOT EXISTS (SELECT 1 FROM lex WHERE lex.text = a.text || b.text AND lex.code = a.code || ' ' || b.code) GROUP BY 1, 2""",
@@ -106,7 +106,7 @@ def phrase_entries(spark, sf_dir):
     """Pairs of documents' words with the most frequent spelling of each as its text."""
     docs = table(spark, sf_dir, "documents")
     pairs = corpus.pair_counts(docs.select(_slots(F.col("text")).alias("tokens")), min_count=5)
-    lex = corpus.token_counts(docs, "text", T.edge_stripped).select(F.upper("word").alias("hanlo"), F.col("word").alias("rime_key"), F.col("cnt").alias("weight"), F.col("word").alias("seq"))
+    lex = corpus.token_counts(docs, "text", T.edge_stripped).select(F.concat(F.lit("字"), "word").alias("hanlo"), F.col("word").alias("rime_key"), F.col("cnt").alias("weight"), F.col("word").alias("seq"))
     best = lex.where("NOT rlike(rime_key, '[1-9]')").groupBy(F.lower("rime_key").alias("k")).agg(F.min_by(F.struct(F.col("hanlo").alias("text"), F.col("rime_key").alias("code")), F.struct(-F.col("weight"), F.col("seq"))).alias("b"))
     rows = pairs.withColumns({"k1": F.lower("w1"), "k2": F.lower("w2")}).join(best.select(F.col("k").alias("k1"), F.col("b").alias("b1")), "k1").join(best.select(F.col("k").alias("k2"), F.col("b").alias("b2")), "k2")
     out = rows.groupBy(F.concat("b1.text", "b2.text").alias("hanlo"), F.concat_ws(" ", "b1.code", "b2.code").alias("rime_key")).agg(F.max(T.phrase_weight(F.col("cnt"))).alias("weight"))

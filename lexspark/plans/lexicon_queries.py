@@ -122,9 +122,9 @@ def gap_fill_map(spark, sf_dir):
     return main.unionByName(lexicon.without(rest, main, ["k"]))
 
 
-@register("anti_join_existing", "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@register("anti_join_existing", "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
 def anti_join_existing(spark, sf_dir):
-    sold = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    sold = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
     return lexicon.without(table(spark, sf_dir, "part").select("p_partkey", "p_name"), sold, ["p_partkey"])
 
 
@@ -166,8 +166,8 @@ def single_candidate_resolve(spark, sf_dir):
 
 @register(
     "all_segments_resolved",
-    f"""WITH {_P}, {_RULES}, n AS (SELECT DISTINCT p_name, w FROM p), s AS (SELECT p_name, unnest(w) AS kip, generate_subscripts(w, 1) AS at FROM n)
-SELECT p_name, bool_and(hanzi IS NOT NULL) AS ok, string_agg(coalesce(hanzi, kip), '--' ORDER BY at) AS assembled FROM s LEFT JOIN suf USING (kip) GROUP BY p_name""",
+    f"""WITH {_P}, {_RULES}, n AS (SELECT DISTINCT p_name, w FROM p), s AS (SELECT p_name, unnest(w) AS kip, generate_subscripts(w, 1) AS place FROM n)
+SELECT p_name, bool_and(hanzi IS NOT NULL) AS ok, string_agg(coalesce(hanzi, kip), '--' ORDER BY place) AS assembled FROM s LEFT JOIN suf USING (kip) GROUP BY p_name""",
 )
 def all_segments_resolved(spark, sf_dir):
     words, _, rules = _light(spark, sf_dir)

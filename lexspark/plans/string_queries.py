@@ -73,8 +73,8 @@ _SYLLABLES = ("gua2", "ui7", "nng7", "ere5", "m7", "lau1", "iu2", "kooh8", "tsit
     f"""WITH v(code) AS (VALUES {', '.join(f"('{s}')" for s in _SYLLABLES)}),
 b AS (SELECT code, regexp_matches(code, '[1-9]$') AS toned, CASE WHEN regexp_matches(code, '[1-9]$') THEN left(code, len(code) - 1) ELSE code END AS base, {_MARK} AS mark FROM v),
 p AS (SELECT *, CASE WHEN instr(base,'oo') > 0 THEN instr(base,'oo') WHEN instr(base,'a') > 0 THEN instr(base,'a') WHEN instr(base,'ere') > 0 THEN instr(base,'ere') + 2 WHEN instr(base,'e') > 0 THEN instr(base,'e') WHEN instr(base,'o') > 0 THEN instr(base,'o')
-WHEN instr(base,'i') > 0 OR instr(base,'u') > 0 THEN greatest(instr(base,'i'), instr(base,'u')) WHEN left(base,2) = 'nn' THEN 2 WHEN regexp_matches(base,'[mn]') THEN len(regexp_extract(base,'^([^mn]*)',1)) + 1 ELSE 0 END AS at FROM b)
-SELECT code, CASE WHEN NOT toned OR mark = '' OR at = 0 THEN base ELSE left(base, at) || mark || substr(base, at + 1) END AS marked FROM p""",
+WHEN instr(base,'i') > 0 OR instr(base,'u') > 0 THEN greatest(instr(base,'i'), instr(base,'u')) WHEN left(base,2) = 'nn' THEN 2 WHEN regexp_matches(base,'[mn]') THEN len(regexp_extract(base,'^([^mn]*)',1)) + 1 ELSE 0 END AS place FROM b)
+SELECT code, CASE WHEN NOT toned OR mark = '' OR place = 0 THEN base ELSE left(base, place) || mark || substr(base, place + 1) END AS marked FROM p""",
 )
 def tone_marks(spark, sf_dir):
     rows = spark.createDataFrame([(s,) for s in _SYLLABLES], "code string")
