@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from .common import cut, scratch
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Texts with anything else are encoded whole. Of controls only tab, line feed and carriage return are held.
 _PLAIN = re.compile(rf"[\t\n\r -~{_LETTER}]*\Z")
+#: Characters of texts that are split at a time.
+TOGETHER = 1 << 20
 _CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
 _PIECES = {
     "byte_bpe_50k.json": re.compile(rf"{_CONTRACTED}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"),
@@ -24,18 +28,8 @@ _PIECES = {
 }
 
 
-class _Kept(dict):
-    """Pieces and their ids; what is missing is taken from the generation before or encoded."""
-
-    def __init__(self, encode: Callable, before: dict):
-        self.encode, self.before = encode, before
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.before.get(piece)
-        if ids is None:
-            ids = np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        self[piece] = ids
-        return ids
+def _bytes(encodings) -> Iterator[bytes]:
+    return (array("I", e.ids).tobytes() for e in encodings)
 
 
 class Encoder:
@@ -44,7 +38,7 @@ class Encoder:
     Texts repeat their words, so where the tokenizer's own splitting pattern is known, each different piece is encoded once and its ids are kept, in two generations of about `keep` pieces; texts with characters for which the pattern isn't sure, or with special tokens' strings, are encoded whole. The ids are those of encoding each text whole.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 250_000):
         import os
 
         from tokenizers import Tokenizer
@@ -54,16 +48,45 @@ class Encoder:
         self.pieces = _PIECES.get(os.path.basename(path))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lower = path.endswith("word_bpe_49k.json")
-        self.keep, self.kept = keep, _Kept(self.tokenizer.encode, {})
+        self.keep, self.kept, self.before = keep, {}, {}
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def _split(self, text: str) -> list[str] | None:
+        """The text's pieces; None if it must be encoded whole."""
         if self.pieces is None or not _PLAIN.match(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out = b"".join(map(self.kept.__getitem__, self.pieces.findall(text.lower() if self.lower else text)))
-        if len(self.kept) > self.keep:
-            self.kept = _Kept(self.tokenizer.encode, dict(self.kept))
-        return out
+            return None
+        return self.pieces.findall(text.lower() if self.lower else text)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split = [self._split(t) for t in texts]
+        new = set().union(*(p for p in split if p is not None)).difference(self.kept)
+        if len(self.kept) + len(new) > self.keep:
+            self.kept, self.before = {}, self.kept
+            new = set().union(*(p for p in split if p is not None))
+        self.kept.update((p, self.before[p]) for p in new if p in self.before)
+        new = list(new.difference(self.kept))
+        self.kept.update(zip(new, _bytes(self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        whole = _bytes(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, split, strict=True) if p is None], add_special_tokens=False))
+        return [next(whole) if p is None else b"".join(map(self.kept.__getitem__, p)) for p in split]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; about TOGETHER characters are held in pieces at a time."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= TOGETHER:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def encode(self, text: str) -> bytes:
+        return self._encode([text])[0]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder a Python worker: the pieces it keeps serve its later tasks too."""
+    return Encoder(path)
 
 
 def encoded(docs: DataFrame, path: str, end: int, rows: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
@@ -71,11 +94,12 @@ def encoded(docs: DataFrame, path: str, end: int, rows: Callable, schema: pa.Sch
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
-                out = [r for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in rows(d, encoder.encode(t or "") + tail)]
+                ids = encoder.encode_all([t or "" for t in part.column(1).to_pylist()])
+                out = [r for d, b in zip(part.column(0).to_pylist(), ids, strict=True) for r in rows(d, b + tail)]
                 yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
