@@ -1,10 +1,12 @@
-"""Main text of web pages: structure first, nearest-URL page differencing where structure says nothing."""
+"""Main text of web pages: structure where it decides, nearest-URL page differencing for all other lines."""
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,21 +40,21 @@ def _marked(rest: str) -> bool:
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """The page's blocks of text in order, each with its zone: "article" (inside article or main), "apart" (menus and the like) or "open" (nothing says).
+    """The page's blocks of text in order, each with its zone: "article" or "main" (inside such an element), "apart" (menus and the like) or "open" (nothing says).
 
     Character references are decoded, white space inside a block is one space. Unclosed elements end with the element that holds them.
     """
     out: list[tuple[str, str]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, apart, in the article
+    stack: list[tuple[str, bool, str]] = []  # name, apart, the article or main around
     at, n = 0, len(page)
 
     def flush() -> None:
         line = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if line:
-            apart, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append((line, "apart" if apart else "article" if inside else "open"))
+            apart, inside = (stack[-1][1], stack[-1][2]) if stack else (False, "")
+            out.append((line, "apart" if apart else inside or "open"))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -89,7 +91,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             flush() if name not in _INLINE else None
             at = end.end() if end else n
             continue
-        apart, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        apart, inside = (stack[-1][1], stack[-1][2]) if stack else (False, "")
         own = name in _APART or _marked(m["rest"])
         if name not in _INLINE or own:
             flush()
@@ -97,7 +99,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             stack.pop()
         if name not in _VOID and not m["rest"].rstrip().endswith("/"):
             if name in ("article", "main") and not own:
-                inside = True
+                inside = inside if inside == "main" else name
             stack.append((name, apart or own and name not in ("html", "body", "article", "main"), inside))
     flush()
     return out
@@ -131,70 +133,109 @@ def common_lines(a: list, b: list) -> set[int]:
     return out
 
 
+_PARSED = [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string())), ("stays", pa.list_(pa.bool_())), ("hashes", pa.list_(pa.int64())), ("decided", pa.bool_())]
+
+
+def _hash(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string())), ("open", pa.list_(pa.string())), ("decided", pa.bool_())])
+    schema = pa.schema(_PARSED)
     for batch in batches:
         for at in range(0, len(batch), 500):
             part = batch.slice(at, 500)
             rows = []
             for page, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", url or "")
-                found = blocks(html or "")
-                inside = [t for t, z in found if z == "article"]
-                # an article element decides; else every line outside of menus and the like is open
-                lines = inside or [t for t, z in found if z == "open"]
-                rows.append((page, url, (m[1] if m else "").lower(), m[2] if m else url or "", lines, [] if inside else lines, bool(inside)))
+                found = [(t, z) for t, z in blocks(html or "") if z != "apart"]
+                hashes = [_hash(t) for t, _ in found]
+                # a main element decides, as does an article with nothing open beside it
+                decided = any(z == "main" for _, z in found) or not any(z == "open" for _, z in found)
+                if decided:
+                    found = [x for x in found if x[1] != "open"]
+                rows.append((page, url, (m[1] if m else "").lower(), m[2] if m else url or "", [t for t, _ in found], [z != "open" for _, z in found], hashes, decided))
             yield pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True)
+
+
+def _border_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and last two runs of pages with equal lines of a partition (all, if no more than three), as one row."""
+    part, first, last = None, [], []
+    for host, hashes, part in _columns(batches):
+        run = {"host": host, "hashes": hashes}
+        if last and last[-1] == run:
+            continue
+        if len(first) < 2:
+            first.append(run)
+        last = [*last[-1:], run] if len(first) == 2 else [run]
+    if part is not None:
+        runs = first if len(first) < 2 or last == first else [*first, *(last if last[0] != first[1] else last[1:])]
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([runs], pa.list_(pa.struct([("host", pa.string()), ("hashes", pa.list_(pa.int64()))])))], names=["_part", "runs"])
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page; null html is empty.
 
-    Pages are parsed into blocks where they are read. A page with an article (or main) element gives that element's blocks, without the menus, adverts, notices, forms and comments in it. Of other pages the lines that nothing marks are held against the pages next to them by URL path on the same host: lines on a longest common subsequence with a neighbour are shared furniture and are deleted. Only lines of such pages meet their neighbours, dealt by ranges of (host, path), so a hot host spreads over tasks; neighbours across a border are taken from the borders' own pages. If all lines are shared (copies of a page), they stay.
+    Pages are parsed into blocks where they are read. Blocks in an article or main element stay, menus, adverts, notices, forms and comments go. The open lines, which nothing marks, of a page without a main element are held against the pages next to it by URL path on the same host, on each side the nearest whose lines differ: those on a longest common subsequence with a neighbour are shared furniture and are deleted. All pages serve as neighbours, dealt by ranges of (host, path), so a hot host spreads over tasks; neighbours across borders are taken from the borders' own pages. If no line would be left (copies of a page), all stay.
     """
-    parsed = pages.select("page_id", "url", "html").mapInArrow(_parse, "page_id long, url string, host string, path string, lines array<string>, open array<string>, decided boolean")
+    parsed = pages.select("page_id", "url", "html").mapInArrow(_parse, "page_id long, url string, host string, path string, lines array<string>, stays array<boolean>, hashes array<long>, decided boolean")
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     decided = parsed.where("decided").select("page_id", "url", F.array_join("lines", " ").alias("text"))
-    unsure = parsed.where("not decided").select("page_id", "url", "host", "path", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
     order = ["host", "path", "page_id"]
-    near = cut(unsure.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    side = F.struct("host", "hashes")
-    # one row per partition, whatever the number of pages: the neighbours across partition borders
-    edges = near.groupBy("_part").agg(F.min_by(side, F.struct(*order)).alias("first"), F.max_by(side, F.struct(*order)).alias("last")).orderBy("_part").collect()
-    before = {e._part: tuple(d["last"]) for d, e in zip(edges, edges[1:], strict=False)}
-    after = {d._part: tuple(e["first"]) for d, e in zip(edges, edges[1:], strict=False)}
+    slim = lambda c: F.when(~F.col("decided"), F.col(c)).alias(c)  # noqa: E731  what is decided only serves as a neighbour
+    near = parsed.select("page_id", slim("url"), "host", "path", slim("lines"), slim("stays"), "hashes", "decided")
+    near = cut(near.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    # one row per partition, whatever the number of pages: the runs at partition borders
+    edges = near.select("host", "hashes", "_part").mapInArrow(_border_runs, "_part int, runs array<struct<host: string, hashes: array<long>>>").collect()
+    runs = [(e._part, [(r.host, r.hashes) for r in e.runs]) for e in sorted(edges, key=lambda e: e._part)]
+    # the nearest run that differs; only a partition of one run is looked past
+    before = {p: next((r for _, other in reversed(runs[:i]) for r in reversed(other) if r != own[0]), None) for i, (p, own) in enumerate(runs)}
+    after = {p: next((r for _, other in islice(runs, i + 1, None) for r in other if r != own[-1]), None) for i, (p, own) in enumerate(runs)}
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
-        def text(page, *neighbours):
-            _, _, host, _, lines, hashes, _ = page
+        def texts(run, lines, stays, last, coming) -> str:
             shared: set[int] = set()
-            for other in neighbours:
-                if other and other[0] == host and other[1] != hashes:
-                    shared |= common_lines(hashes, other[1])
-            return " ".join([t for i, t in enumerate(lines) if i not in shared] or lines)
+            for other in (last, coming):
+                if other and other[0] == run[0]:
+                    shared |= common_lines(run[1], other[1])
+            return " ".join([t for i, t in enumerate(lines) if stays[i] or i not in shared] or lines)
+
+        def told(run, held, last, coming):
+            done: dict[tuple, str] = {}  # equal lines may lie in different zones
+            for page, url, lines, stays in held:
+                key = tuple(stays)
+                if key not in done:
+                    done[key] = texts(run, lines, stays, last, coming)
+                yield page, url, done[key]
 
         def rows():
-            last, page = None, None
-            for batch in batches:
-                for coming in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if page:
-                        yield page[0], page[1], text(page, last, (coming[2], coming[5]))
-                        last = page[2], page[5]
-                    else:
-                        last = before.get(coming[6])
-                    page = coming
-            if page:
-                yield page[0], page[1], text(page, last, after.get(page[6]))
-
-        held = []
+            last, run, held, part = None, None, [], None
+            for page, url, host, _, lines, stays, hashes, sure, part in _columns(batches):
+                if run != (host, hashes):
+                    if run:
+                        yield from told(run, held, last, (host, hashes))
+                    last, run, held = run or before.get(part), (host, hashes), []
+                if not sure:
+                    same = next((x for x in held[-1:] if x[2] == lines), None)  # copies share their lines
+                    held.append((page, url, same[2] if same else lines, same[3] if same and same[3] == stays else stays))
+            if run:
+                yield from told(run, held, last, after.get(part))
+
+        out = []
         for row in rows():
-            held.append(row)
-            if len(held) >= 1000:
-                yield pa.record_batch([pa.array([r[i] for r in held], f.type) for i, f in enumerate(schema)], schema=schema)
-                held = []
-        yield pa.record_batch([pa.array([r[i] for r in held], f.type) for i, f in enumerate(schema)], schema=schema)
+            out.append(row)
+            if len(out) >= 1000:
+                yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+                out = []
+        yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return decided.unionByName(near.mapInArrow(differ, "page_id long, url string, text string"))
 

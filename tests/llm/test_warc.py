@@ -52,6 +52,22 @@ def test_main_text(spark):
     assert html.main_texts(frame(spark).where("false")).collect() == []
 
 
+def test_differencing_over_copies_and_article_pages(spark):
+    side = lambda own: f"<div>shared menu</div><p>{own}</p><div>shared end</div>"
+    copies = [(i, f"http://h.example/b{i:02}", side("own copy")) for i in range(10, 40)]
+    rows = [(1, "http://h.example/a", side("own first")), *copies, (90, "http://h.example/z", "<div>shared menu</div><article>whole article</article><div>shared end</div>")]
+    for n in (1, 4, 9):  # whatever borders lie in the group of copies
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.page_id: r.text for r in html.main_texts(frame(spark, rows)).collect()}
+        assert got == {1: "own first", **{i: "own copy" for i, _, _ in copies}, 90: "whole article"}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_text_beside_article_cards(spark):
+    rows = [(i, f"http://h.example/{i}", f"<div>menu</div><div>text of {i}</div><article>card {i}</article>") for i in range(3)]
+    assert sorted(r.text for r in html.main_texts(frame(spark, rows)).collect()) == [f"text of {i} card {i}" for i in range(3)]
+
+
 def test_long_page(spark):
     rows = [(1, "u", "<article>" + "<p>word one</p>" * 50_000 + "</article>"), (2, "u", "<div>" * 5000 + "deep"), (3, "u", "<" * 10_000)]
     got = {r.page_id: r.text for r in html.main_texts(frame(spark, rows)).collect()}
