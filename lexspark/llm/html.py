@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Attributes one after the other, so that words inside a value are none.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?|"[^"]*"|'[^']*'""")
 
 #: Elements whose content is no text of the page.
 _RAW = frozenset("script style noscript template iframe object svg canvas textarea select".split())
@@ -29,31 +30,41 @@ _MARKS = frozenset("ad ads advert adverts advertisement advertising banner bread
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _marked(rest: str) -> bool:
+def _marked(rest: str) -> str:
+    """What a tag's attributes say: "hidden", "marked" (a class, id or role all of whose words are marks) or nothing."""
+    out, seen = "", set()
     for m in _ATTRIBUTE.finditer(rest):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id", "role") and any(w.lower() in _MARKS for w in _WORDS.findall(value)):
-            return True
-    return False
+        name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+        if name in seen:
+            continue  # of repeated attributes the first counts
+        seen.add(name)
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+            return "hidden"
+        if name in ("class", "id", "role") and any(_is_mark(t) for t in value.split()):
+            out = "marked"
+    return out
+
+
+def _is_mark(token: str) -> bool:
+    words = _WORDS.findall(token)
+    return token.lower() in _MARKS or bool(words) and all(w.lower() in _MARKS for w in words)
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
     """The page's blocks of text in order, each with its zone: "article" or "main" (inside such an element), "apart" (menus and the like) or "open" (nothing says).
 
-    Character references are decoded, white space inside a block is one space. Unclosed elements end with the element that holds them.
+    An article or main element in a marked wrapper (or a form) counts if none stands outside of such wrappers; what is hidden never does. Character references are decoded, white space inside a block is one space. Unclosed elements end with the element that holds them.
     """
     out: list[tuple[str, str]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, str]] = []  # name, apart, the article or main around
+    stack: list[tuple[str, str, str]] = []  # name, why apart ("marked" can be lifted by an article, "fixed" can't), the article or main around
     at, n = 0, len(page)
 
     def flush() -> None:
         line = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if line:
-            apart, inside = (stack[-1][1], stack[-1][2]) if stack else (False, "")
+            apart, inside = (stack[-1][1], stack[-1][2]) if stack else ("", "")
             out.append((line, "apart" if apart else inside or "open"))
 
     while at < n:
@@ -91,18 +102,27 @@ def blocks(page: str) -> list[tuple[str, str]]:
             flush() if name not in _INLINE else None
             at = end.end() if end else n
             continue
-        apart, inside = (stack[-1][1], stack[-1][2]) if stack else (False, "")
-        own = name in _APART or _marked(m["rest"])
+        apart, inside = (stack[-1][1], stack[-1][2]) if stack else ("", "")
+        said = _marked(m["rest"])
+        own = name in _APART or bool(said)
         if name not in _INLINE or own:
             flush()
         if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
             stack.pop()
         if name not in _VOID and not m["rest"].rstrip().endswith("/"):
             if name in ("article", "main") and not own:
-                inside = inside if inside == "main" else name
-            stack.append((name, apart or own and name not in ("html", "body", "article", "main"), inside))
+                if apart == "marked" and not inside:
+                    apart, inside = "", "wrapped " + name
+                else:
+                    inside = inside if inside in ("main", "wrapped main") else "wrapped " * inside.startswith("wrapped") + name
+            if said == "hidden" and name not in ("html", "body") or name in _APART and name != "form":
+                apart = "fixed"
+            elif own and name not in ("html", "body", "article", "main"):
+                apart = apart or "marked"
+            stack.append((name, apart, inside))
     flush()
-    return out
+    outside = any(z in ("article", "main") for _, z in out)
+    return [(t, ("apart" if outside else z[8:]) if z.startswith("wrapped") else z) for t, z in out]
 
 
 def common_lines(a: list, b: list) -> set[int]:

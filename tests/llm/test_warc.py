@@ -68,6 +68,19 @@ def test_text_beside_article_cards(spark):
     assert sorted(r.text for r in html.main_texts(frame(spark, rows)).collect()) == [f"text of {i} card {i}" for i in range(3)]
 
 
+def test_marks_are_whole_names():
+    zones = lambda page: [z for _, z in html.blocks(page)]
+    for tag in ('style="overflow:hidden"', 'title="the hidden valley"', 'class="content-with-sidebar"', 'class="no-sidebar"', "data-x='class=ad' id=text", 'class="sidebar"', "id=menu", 'role="banner"'):
+        assert zones(f"<div {tag}><article><p>a</p></article></div>") == ["article"], tag
+        assert zones(f"<article><div {tag}><p>a</p></div></article>") == (["apart"] if tag in ('class="sidebar"', "id=menu", 'role="banner"') else ["article"]), tag
+    assert zones('<form id=f><main style="overflow:hidden">a</main></form>') == ["main"]
+    assert zones("<article>a</article><div class=related><article>card</article></div>") == ["article", "apart"]
+    assert zones("<article>a<section id=comments><article>b</article></section></article>") == ["article", "apart"]
+    for tag in ("hidden", "hidden=''", "aria-hidden=true", "class='a cookie-notice' x"):
+        assert zones(f"<div {tag}><p>a</p></div><p>b</p>") == ["apart", "open"], tag
+    assert zones("<div hidden><article>a</article></div>") == ["apart"]
+
+
 def test_long_page(spark):
     rows = [(1, "u", "<article>" + "<p>word one</p>" * 50_000 + "</article>"), (2, "u", "<div>" * 5000 + "deep"), (3, "u", "<" * 10_000)]
     got = {r.page_id: r.text for r in html.main_texts(frame(spark, rows)).collect()}
