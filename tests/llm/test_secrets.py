@@ -36,6 +36,26 @@ def test_battery_finds_random_tokens_and_leaves_writing():
     assert secrets.random_spans(plain) == []
 
 
+def test_battery_finds_secrets_after_names_and_beside_other_characters():
+    rng = random.Random(5)
+    shapes = ("AWS_SECRET_ACCESS_KEY={}", "sig={}&x=1", "k={};", "a/b_c={}", "path_name/with-{}", "export X={} Y=1")
+    for shape in shapes:
+        hits = 0
+        for _ in range(100):
+            token = base64.b64encode(rng.randbytes(30)).decode()
+            text = f"it was said that {shape.format(token)} would do"
+            at = text.index(token)
+            hits += any(s <= at + 8 and at + len(token) - 8 <= e for s, e in secrets.random_spans(text))
+        assert hits >= 93, (shape, hits)
+    live = sum(bool(secrets.random_spans("key=sk_live_" + "".join(rng.choices(secrets.ENCODINGS[3][1][:62], k=32)))) for _ in range(100))
+    assert live >= 93
+    letters = "".join(c for c in secrets.ENCODINGS[3][1] if not c.isdigit())
+    assert sum(bool(secrets.random_spans("".join(rng.choices(letters, k=40)))) for _ in range(100)) >= 93
+    plain = "SOME_LONG_VARIABLE_NAME=internationalization getElementsByClassNameAndValue=some-long/path_name/of-a-File AbstractSingletonProxyFactoryBeanImplementation path/To/SomeVeryLongClassNameOfThings_v2=12345678901234567890"
+    assert secrets.random_spans(plain) == []
+    assert "".join(secrets.masked("KEY_NAME_OF_A_THING=fK3jP0xQ7vLz+R2m/T8wYb1N4cHs6DgUaEoXi5Jr end").split("[SECRET]")) == "KEY_NAME_OF_A_THING= end"
+
+
 def test_scan_and_mask(odd_docs, no_docs, spark):
     rows = secrets.scan(odd_docs).collect()
     assert len(rows) == odd_docs.count() and {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
