@@ -63,6 +63,8 @@ def write_warc(pages: DataFrame, path: str) -> None:
 _FIELDS = [("file", pa.string()), ("offset", pa.int64()), ("next", pa.int64()), ("exit", pa.int64()), ("block", pa.int64()), ("type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("declared", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
 _DDL = "file string, offset long, next long, exit long, block long, type string, page_id long, refers_to long, declared string, payload_bytes long, payload_digest string"
 
+_HEAD = (b"WARC-Type", b"WARC-Record-ID", b"WARC-Refers-To", b"WARC-Payload-Digest", b"Content-Length")
+
 
 def _number(value: bytes | None) -> int | None:
     m = re.search(rb"urn:page:(-?\d+)", value or b"")
@@ -72,11 +74,19 @@ def _number(value: bytes | None) -> int | None:
 def candidates(content: bytes) -> list[dict]:
     """What may be records of one file: each place of the magic with its successor's offset (null if its length doesn't end at a record's end), and what the record says. Chains are followed to the first offset outside their block, the exit."""
     out = []
+    end, fields = -1, {}
     for m in _MAGIC.finditer(content):
-        at, end = m.start(), content.find(b"\r\n\r\n", m.end() - 2, m.end() + (1 << 16))
-        if end < 0:
-            continue
-        head = dict(x.split(b": ", 1) for x in content[m.end() : end].split(b"\r\n") if b": " in x)
+        at = m.start()
+        if end < m.end() - 2:  # magic before the same header's end shares its fields, so each byte is parsed once
+            end, fields, line = content.find(b"\r\n\r\n", m.end() - 2), {}, m.end()
+            if end < 0:
+                break
+            for x in content[line:end].split(b"\r\n"):
+                if b": " in x:
+                    key, value = x.split(b": ", 1)
+                    fields[key] = line, value
+                line += len(x) + 2
+        head = {k: fields[k][1] for k in _HEAD if k in fields and fields[k][0] >= m.end()}
         size = head.get(b"Content-Length", b"")
         if not size.isdigit():
             continue

@@ -36,6 +36,13 @@ def test_chains_over_many_blocks(spark, tmp_path, monkeypatch):
     assert sorted(kept) == list(range(40))
 
 
+def test_headers_of_any_length(spark, tmp_path):
+    rows = [(i, f"http://a.example/{i}?" + ("q" * 200_000 if i == 1 else "WARC/1.0\r\n" * 3), f"<p>page {i}") for i in range(5)]
+    warc.write_warc(frame(spark, rows).coalesce(1), f"file://{tmp_path}/w")
+    got = {r.page_id: r.payload_digest for r in warc.records(f"file://{tmp_path}/w", spark).collect()}
+    assert got == {p: hashlib.sha256(h.encode()).hexdigest() for p, _, h in rows}
+
+
 def test_repeated_and_no_pages(spark, tmp_path):
     warc.write_warc(frame(spark, ROWS + ROWS), f"file://{tmp_path}/w")
     assert warc.records(f"file://{tmp_path}/w", spark).count() == 2 * len(ROWS)
