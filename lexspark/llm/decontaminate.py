@@ -163,8 +163,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs without those that hold a benchmark item. Each row is decided by its own text, whether its doc_id is null, repeated or neither."""
+    at = docs.columns.index("text")
+    for items in _parts(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(shared.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not bench.leaks(t) for t in utf8(batch.column(at))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:

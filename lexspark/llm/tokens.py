@@ -112,9 +112,9 @@ def token_lists(docs: DataFrame, path: str, end: int) -> DataFrame:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) dealt and sorted by doc_id; done before encoding, as dealing by range reads its input twice."""
+    """(doc_id, text) dealt and sorted by doc_id, null first, and repeated ids by text; done before encoding, as dealing by range reads its input twice."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    return docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
 
 def write_tokens(tokens: DataFrame, path: str, encoding: str = "dictionary", row_group: int = 16 << 20, page: int = 256 << 10) -> None:
@@ -132,40 +132,59 @@ def read_tokens(spark, path: str, columns: tuple[str, ...] = ("doc_id", "ids"))
 
 
 def starts(spark, path: str, span: int = 1 << 16) -> DataFrame:
-    """(doc_id, start): the ids of all documents before each, from the lengths alone.
+    """(doc_id, start): the ids of all documents before each, from the lengths alone; one row for each row of the files."""
+    return with_starts(placed(read_tokens(spark, path, ("doc_id", "n_tokens", "_metadata"))), span).select("doc_id", "start")
+
+
+def placed(tokens: DataFrame) -> DataFrame:
+    """Rows of token files with their file and place in it, the row's key, in place of `_metadata`."""
+    return tokens.withColumns({"_file": F.col("_metadata.file_name"), "_at": F.col("_metadata.row_index")}).drop("_metadata")
+
+
+def with_starts(rows: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """Placed rows with `start`, the ids of all rows before each: rows without doc_id are first, and rows that share a doc_id (or have none) follow each other as they lie in the files. No row is lost or told twice.
 
     doc_ids are summed in blocks of `span` neighbouring ids, the blocks' sums are cumulated by two levels, and each block is cumulated by itself.
     """
-    lengths = read_tokens(spark, path, ("doc_id", "n_tokens")).withColumn("_block", F.floor(F.col("doc_id") / span))
+    lengths = rows.withColumn("_block", F.coalesce(F.floor(F.col("doc_id") / span), F.lit(-(1 << 63)).cast("long")))  # null: below all others
     sums = lengths.groupBy("_block").agg(F.sum("n_tokens").alias("_n")).withColumn("_top", F.floor(F.col("_block") / span))
     tops = sums.groupBy("_top").agg(F.sum("_n").alias("_m"))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("_top", F.coalesce(F.sum("_m").over(earlier(Window.orderBy("_top"))), F.lit(0)).alias("_above"))  # one row for 2^32 doc_ids
     sums = sums.join(tops, "_top").select("_block", (F.col("_above") + F.coalesce(F.sum("_n").over(earlier(Window.partitionBy("_top").orderBy("_block"))), F.lit(0))).alias("_before"))
-    inner = F.coalesce(F.sum("n_tokens").over(earlier(Window.partitionBy("_block").orderBy("doc_id"))), F.lit(0))
-    return lengths.withColumn("_in", inner).join(sums, "_block").select("doc_id", (F.col("_before") + F.col("_in")).alias("start"))
+    inner = F.coalesce(F.sum("n_tokens").over(earlier(Window.partitionBy("_block").orderBy("doc_id", "_file", "_at"))), F.lit(0))
+    return lengths.withColumn("_in", inner).join(sums, "_block").withColumn("start", F.col("_before") + F.col("_in")).drop("_block", "_before", "_in")
 
 
 def ids_crc32(tokens: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32) of a (doc_id, ids) table, over the ids as little-endian unsigned 32-bit integers."""
+    """(doc_id, n_tokens, ids_crc32) of a (doc_id, ids) table, over the ids as little-endian unsigned 32-bit integers; a placed table keeps its row keys."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    keys = [c for c in ("_file", "_at") if c in tokens.columns]
+    schema = pa.schema([*schema, *(f for f in (pa.field("_file", pa.string()), pa.field("_at", pa.int64())) if f.name in keys)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             flat, ends = np.asarray(lists.values).astype("<u4"), np.asarray(lists.offsets)
             crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], schema=schema)
+            yield pa.record_batch([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64()), *batch.columns[2:]], schema=schema)
 
-    return tokens.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long")
+    ddl = "doc_id long, n_tokens long, ids_crc32 long" + "".join({"_file": ", _file string", "_at": ", _at long"}[c] for c in keys)
+    return tokens.select("doc_id", "ids", *keys).mapInArrow(run, ddl)
 
 
-def query(spark, sf_dir: str) -> DataFrame:
+def token_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) through token files: one row for each row of docs, also where doc_id is null or repeated. Starts go by doc_id, null first, and text."""
     import public_tokenizers
 
+    spark = docs.sparkSession
+    path = scratch(spark, "tokens")
+    write_tokens(token_lists(in_order(docs), public_tokenizers.path("word_bpe_49k.json"), 2), path)
+    rows = cut(ids_crc32(placed(read_tokens(spark, path, ("doc_id", "ids", "_metadata")))))
+    return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    path = scratch(spark, "tokens")
-    write_tokens(token_lists(in_order(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"), 2), path)
-    crcs = cut(ids_crc32(read_tokens(spark, path)))
-    return crcs.join(starts(spark, path), "doc_id").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_table(table(spark, sf_dir, "documents"))

@@ -48,6 +48,12 @@ def test_index_finds_all_within_the_radius():
     assert set(zip(rows, items, strict=True)) == set(zip(*np.nonzero(apart <= decontaminate.RADIUS), strict=True)) and len(rows) > 20
 
 
+def test_rows_without_id_are_decided_by_their_text(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART", 1)
+    d, i = frames(spark, [(None, "one two three four five six"), (None, "clean"), (5, "x one two three four five six"), (5, "clean too")], [(1, "one two three four five six"), (2, "seven eight nine ten eleven")])
+    assert sorted(r.text for r in decontaminate.without_leaks(d, i).collect()) == ["clean", "clean too"]
+
+
 def test_odd_and_empty(spark, odd_docs, no_docs):
     _, i = frames(spark, [(1, "x")], [(7, "The cat sat on the mat by the door."), (8, "alpha beta gamma delta")])
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd_docs, i).collect()} == {(1, 7), (2, 7), (5, 8)}

@@ -1,9 +1,11 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexspark.llm import packing, tokens
@@ -40,6 +42,33 @@ def test_files_round_trip(spark, odd_docs, no_docs, tmp_path, encoding):
     assert tokens.starts(spark, f"file://{tmp_path}/e").collect() == []
 
 
+def test_null_and_repeated_ids_are_whole(spark, odd_docs, no_docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    docs = odd_docs.unionByName(odd_docs.where("doc_id is null").withColumn("text", F.lit("another"))).unionByName(odd_docs.where("doc_id = 2").withColumn("text", F.lit("A")))
+    want, at = [], 0
+    for d, t in sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, tokens.token_table(docs).collect()), key=lambda r: r[1]) == want
+    assert tokens.token_table(no_docs).collect() == []
+
+
+def test_packed_ids_of_null_and_repeated_documents_are_whole(odd_docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    want = Counter()
+    for r in odd_docs.collect():
+        ids, at = np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4"), 0
+        for n in packing.cuts(len(ids), 1024):
+            want[r.doc_id, at, n, zlib.crc32(ids[at : at + n].tobytes())] += 1
+            at += n
+    rows = packing.pack(packing.token_pieces(odd_docs, path, 0), ["doc_id", "start"]).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows) == want
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
 def test_patterns_hold_the_histogram_with_little_padding():
     rng = np.random.default_rng(5)
     for n in (1, 40, 5000):
