@@ -48,6 +48,19 @@ def test_index_finds_all_within_the_radius():
     assert set(zip(rows, items, strict=True)) == set(zip(*np.nonzero(apart <= decontaminate.RADIUS), strict=True)) and len(rows) > 20
 
 
+def test_windows_and_items_with_repeated_shingles_equal_brute_force(spark):
+    words = lambda x, n: [f"{x}{i}" for i in range(n)]
+    items, docs = [], []
+    for j in range(12):
+        passage = words(f"w{j}x", 104)
+        cut_off, filler = passage[14 - j % 6 :], ["um"] * 30
+        items.append((j, " ".join(passage if j % 2 else [*passage[:92], *["um"] * 12])))
+        docs += [(10 * j, " ".join(cut_off + filler)), (10 * j + 1, " ".join(filler + passage[:91] + filler)), (10 * j + 2, " ".join(passage[:60] + filler[:4] + passage[60:]))]
+    d, i = frames(spark, docs, items)
+    want = brute.leaks(docs, items)
+    assert len(want) > 12 and {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, i).collect()} == want
+
+
 def test_rows_without_id_are_decided_by_their_text(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PART", 1)
     d, i = frames(spark, [(None, "one two three four five six"), (None, "clean"), (5, "x one two three four five six"), (5, "clean too")], [(1, "one two three four five six"), (2, "seven eight nine ten eleven")])
