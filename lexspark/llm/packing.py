@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -90,30 +91,38 @@ def first_basis(lengths: list[int], need: np.ndarray, room: int) -> tuple[list[d
     return patterns, inverse
 
 
-def cutting_stock(histogram: dict[int, int], room: int = LENGTH, gap: float = 1e-3, rounds: int = 300) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length -> how many) with how often each is used, which hold all pieces of a length histogram.
+@dataclass
+class Program:
+    """A solved linear program: patterns (length -> how many), how often each is used (in fractions), the pricing rounds taken, and the bound that no packing can go below."""
+
+    patterns: list[dict[int, int]]
+    uses: np.ndarray
+    rounds: int
+    bound: float
+
 
-    Column generation: a linear program over patterns is solved by the revised simplex method; its dual prices value the lengths, the knapsack prices the next pattern, and Farley's bound ends the search within `gap` of the optimum (or after `rounds`). The solution is rounded down, and what is left over is packed by best fit.
+def linear_program(lengths: list[int], need: np.ndarray, room: int, gap: float) -> Program:
+    """Fewest sequences, in fractions, by column generation.
+
+    The revised simplex method keeps a basis of as many patterns as lengths; its dual prices value the lengths, and the knapsack prices the next pattern. The search ends when no pattern is worth more than one sequence, or when Farley's bound (the prices' worth of all pieces over that of the best pattern) proves the uses to lie within `gap` of the optimum.
     """
-    used = [({k: 1}, v) for k, v in histogram.items() if k == room and v > 0]
-    histogram = {k: v for k, v in histogram.items() if k < room and v > 0}
-    lengths = sorted(histogram)
-    if not lengths:
-        return used
     place = {k: i for i, k in enumerate(lengths)}
-    need = np.array([histogram[k] for k in lengths], float)
     patterns, inverse = first_basis(lengths, need, room)
     times = lambda vector: np.einsum("ij,j->i", inverse, vector)  # noqa: E731  small; BLAS threads only get in each other's way here
     x = np.maximum(times(need), 0)
-    for _ in range(rounds):
-        if x.sum() <= (1 + gap) * float((need * lengths).sum()) / room:  # no packing needs less than the ids' own volume
-            break
-        duals = inverse.sum(axis=0)
+    rounds, bound, since, least = 0, float((need * lengths).sum()) / room, 0, np.inf
+    while True:
+        prices = np.maximum(inverse.sum(axis=0), 0)
         value = np.zeros(room + 1)
-        value[lengths] = duals
+        value[lengths] = prices
         best, pattern = knapsack(value, room)
-        if best <= 1 + 1e-9 or x.sum() * (1 - 1 / best) <= gap * x.sum():
-            break
+        bound = max(bound, float((need * prices).sum()) / best)
+        if x.sum() < least - 1e-9 * least:
+            least, since = x.sum(), 0
+        since += 1
+        if best <= 1 + 1e-9 or since > 2 * len(lengths):  # optimal; or pivots that change nothing go round in circles
+            return Program(patterns, x, rounds, bound)
+        rounds += 1
         column = np.zeros(len(lengths))
         for k, n in pattern.items():
             column[place[k]] = n
@@ -126,12 +135,27 @@ def cutting_stock(histogram: dict[int, int], room: int = LENGTH, gap: float = 1e
         inverse -= d[:, None] * row
         inverse[out] = row
         x = np.maximum(times(need), 0)
+        if x.sum() <= (1 + gap) * bound:
+            return Program(patterns, x, rounds, bound)
+
+
+def cutting_stock(histogram: dict[int, int], room: int = LENGTH, gap: float = 1e-4) -> list[tuple[dict[int, int], int]]:
+    """Patterns (length -> how many) with how often each is used, which hold all pieces of a length histogram.
+
+    Full pieces are sequences of their own. The uses of the linear program's patterns are rounded down, and what is left over, of less than one sequence a length, is packed by best fit.
+    """
+    used = [({k: 1}, v) for k, v in histogram.items() if k == room and v > 0]
+    histogram = {k: v for k, v in histogram.items() if k < room and v > 0}
+    lengths = sorted(histogram)
+    if not lengths:
+        return used
+    solved = linear_program(lengths, np.array([histogram[k] for k in lengths], float), room, gap)
     left = dict(histogram)
-    for i in np.argsort(-x):
-        most = min([int(x[i] + 1e-9), *(left[k] // n for k, n in patterns[i].items())])
+    for i in np.argsort(-solved.uses):
+        most = min([int(solved.uses[i] + 1e-9), *(left[k] // n for k, n in solved.patterns[i].items())])
         if most > 0:
-            used.append((patterns[i], most))
-            for k, n in patterns[i].items():
+            used.append((solved.patterns[i], most))
+            for k, n in solved.patterns[i].items():
                 left[k] -= n * most
     return used + fit_rest(left, room)
 

@@ -132,3 +132,31 @@ def test_packing_query(spark, small, odd_docs, no_docs):
     assert packing.pack(packing.token_pieces(no_docs, path, 0), ["doc_id", "start"]).collect() == []
     with_ids = packing.token_pieces(odd, path, 0, with_ids=True).collect()
     assert all(len(r.ids) == r.length for r in with_ids)
+
+
+def test_column_generation_prices_patterns_of_the_real_histogram():
+    """Patterns come from pricing, not from the start alone; the packing lies between Farley's bound and one sequence a length more."""
+    encoder, h = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for ids in encoder.encode_all([t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]):
+        h.update(packing.cuts(len(ids) // 4 + 1, 1024))
+    full = h.pop(1024, 0)
+    lengths = sorted(h)
+    need = np.array([h[k] for k in lengths], float)
+    solved = packing.linear_program(lengths, need, 1024, 1e-4)
+    assert solved.rounds > 50
+    held = Counter()
+    for pattern, times in zip(solved.patterns, solved.uses, strict=True):
+        assert sum(k * n for k, n in pattern.items()) <= 1024
+        for k, n in pattern.items():
+            held[k] += n * times
+    assert all(abs(held[k] - h[k]) < 1e-6 * h[k] for k in lengths)
+    assert solved.bound <= solved.uses.sum() <= solved.bound * (1 + 1e-4)
+    used = packing.cutting_stock({**h, 1024: full})
+    n = sum(times for _, times in used) - full
+    assert solved.bound <= n <= solved.bound + len(lengths)
+
+
+def test_linear_program_reaches_the_optimum_of_all_patterns():
+    """The classic instance: lengths 45, 36, 31, 14 of a roll of 100; the optimum over all patterns is 452.25."""
+    solved = packing.linear_program([14, 31, 36, 45], np.array([211.0, 395, 610, 97]), 100, 1e-9)
+    assert abs(solved.uses.sum() - 452.25) < 1e-6 and solved.rounds > 0
