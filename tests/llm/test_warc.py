@@ -1,6 +1,6 @@
 import hashlib
 
-from lexspark.llm import html, warc
+from lexspark.llm import warc
 
 TRAP = "x" * 150 + "\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + "y" * 50
 ROWS = [(1, "http://a.example/x", "<p>" + "a" * 200), (2, "http://a.example/y", "<p>" + "a" * 200), (3, None, "<p>" + "a" * 200), (4, "u\r\nv", "short"), (5, "http://b.example", "short"), (6, "http://b.example/1", None), (7, "http://b.example/2", ""), (8, "http://b.example/3", TRAP), (9, "http://b.example/3", TRAP), (10, "", "é" * 50), (11, "", "é" * 50), (12, "", "é" * 49 + "a"), (13, "", "\n\n\r\n")]
@@ -87,56 +87,3 @@ def test_repeated_and_no_pages(spark, tmp_path):
     assert warc.records(f"file://{tmp_path}/w", spark).count() == 2 * len(ROWS)
     warc.write_warc(frame(spark).where("false"), f"file://{tmp_path}/e")
     assert warc.records(f"file://{tmp_path}/e", spark).collect() == []
-
-
-def test_main_text(spark):
-    page = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>m</ul></nav><!-- <p>no</p> --><div class="ad">buy</div>
-    <article><h1>Head &amp; line</h1><p><b>one<br>two<p>three&nbsp;&eacute;</p><aside>side</aside><section id="comments"><p>me too</p></section><form>f</form><script>var t="</p>";</script></article><footer>f</footer></body></html>"""
-    rows = [(1, "http://h.example/a", page), (2, "http://h.example/b", None), (3, None, ""), (4, "http://h.example/c", "<p>shared</p><p>own four</p><p>end</p>"), (5, "http://h.example/d", "<p>shared</p><p>own five</p><p>end</p>"), (6, "http://x.example/d", "<p>shared</p>"), (6, "http://x.example/d", "<p>shared</p>")]
-    got = sorted((r.page_id, r.text) for r in html.main_texts(frame(spark, rows)).collect())
-    assert got == [(1, "Head & line one two three é"), (2, ""), (3, ""), (4, "own four"), (5, "own five"), (6, "shared"), (6, "shared")]
-    assert html.main_texts(frame(spark).where("false")).collect() == []
-
-
-def test_differencing_over_copies_and_article_pages(spark):
-    side = lambda own: f"<div>shared menu</div><p>{own}</p><div>shared end</div>"
-    copies = [(i, f"http://h.example/b{i:02}", side("own copy")) for i in range(10, 40)]
-    rows = [(1, "http://h.example/a", side("own first")), *copies, (90, "http://h.example/z", "<div>shared menu</div><article>whole article</article><div>shared end</div>")]
-    for n in (1, 4, 9):  # whatever borders lie in the group of copies
-        spark.conf.set("spark.sql.shuffle.partitions", n)
-        got = {r.page_id: r.text for r in html.main_texts(frame(spark, rows)).collect()}
-        assert got == {1: "own first", **{i: "own copy" for i, _, _ in copies}, 90: "whole article"}
-    spark.conf.set("spark.sql.shuffle.partitions", 4)
-
-
-def test_text_beside_article_cards(spark):
-    rows = [(i, f"http://h.example/{i}", f"<div>menu</div><div>text of {i}</div><article>card {i}</article>") for i in range(3)]
-    assert sorted(r.text for r in html.main_texts(frame(spark, rows)).collect()) == [f"text of {i} card {i}" for i in range(3)]
-
-
-def test_marks_are_whole_names():
-    zones = lambda page: [z for _, z in html.blocks(page)]
-    for tag in ('style="overflow:hidden"', 'title="the hidden valley"', 'class="content-with-sidebar"', 'class="no-sidebar"', "data-x='class=ad' id=text", 'class="sidebar"', "id=menu", 'role="banner"'):
-        assert zones(f"<div {tag}><article><p>a</p></article></div>") == ["article"], tag
-        assert zones(f"<article><div {tag}><p>a</p></div></article>") == (["apart"] if tag in ('class="sidebar"', "id=menu", 'role="banner"') else ["article"]), tag
-    assert zones('<form id=f><main style="overflow:hidden">a</main></form>') == ["main"]
-    assert zones("<article>a</article><div class=related><article>card</article></div>") == ["article", "apart"]
-    assert zones("<article>a<section id=comments><article>b</article></section></article>") == ["article", "apart"]
-    for tag in ("hidden", "hidden=''", "aria-hidden=true", "class='a cookie-notice' x"):
-        assert zones(f"<div {tag}><p>a</p></div><p>b</p>") == ["apart", "open"], tag
-    assert zones("<div hidden><article>a</article></div>") == ["apart"]
-
-
-def test_long_page(spark):
-    rows = [(1, "u", "<article>" + "<p>word one</p>" * 50_000 + "</article>"), (2, "u", "<div>" * 5000 + "deep"), (3, "u", "<" * 10_000)]
-    got = {r.page_id: r.text for r in html.main_texts(frame(spark, rows)).collect()}
-    assert got[1] == " ".join(["word one"] * 50_000) and got[2] == "deep"
-
-
-def test_common_lines_equal_brute_force():
-    from itertools import combinations
-
-    for a in ("abcab", "xaybz", "aab", ""):
-        for b in ("acb", "abz", "ba", "aab"):
-            best = max(n for n in range(len(a) + 1) for c in combinations(a, n) if "".join(c) in {"".join(d) for m in range(len(b) + 1) for d in combinations(b, m)})
-            assert len(html.common_lines(list(a), list(b))) == best
