@@ -81,6 +81,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def piece_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One hash for each piece of some bytes, the same wherever it lies."""
+    n = len(raw)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers("base", n), out=sums[1:])
+    return mixed((sums[end] - sums[start]) * _powers("inverse", n)[start] + (end - start).astype(np.uint64))
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """One hash a word of the text, in order: A-Z lowered, words are runs without U+0020 and U+0009-U+000D."""
     raw = np.frombuffer(text.translate(_LOWER), np.uint8)
@@ -93,9 +101,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers("base", n), out=sums[1:])
-    return mixed((sums[end] - sums[start]) * _powers("inverse", n)[start] + (end - start).astype(np.uint64))
+    return piece_hashes(raw, start, end)
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:

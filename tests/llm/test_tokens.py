@@ -14,18 +14,37 @@ TEXTS = ["", " ", "  a  b\n\n c\t d  ", "it's we'll DON'T 'S can't", "naïve ½
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_ids_are_those_of_whole_texts(spark, small, name):
-    encoder, whole = tokens.Encoder(public_tokenizers.path(name), keep=500), Tokenizer.from_file(public_tokenizers.path(name))
-    texts = TEXTS + [r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
-    for t in texts:
-        assert encoder.encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:80]
+def test_ids_are_those_of_whole_texts(spark, small, name, monkeypatch):
+    encoder, whole = tokens.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    assert encoder.by_words
+    monkeypatch.setattr(tokens, "TOGETHER", 3000)
+    texts = TEXTS + [" ".join(TEXTS), "".join(TEXTS[:6]) * 700, "word " * 3000] + [r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for places, kept in ((7, 200), (20, 1 << 20)):  # words that share places, and tables let go
+        monkeypatch.setattr(tokens, "PLACES", 1 << places)
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        encoder._forget()
+        for t, ids in zip(texts, want, strict=True):
+            assert encoder.encode(t) == ids, t[:80]
+        assert list(encoder.encode_all([t.encode() for t in texts])) == want
+
+
+def test_random_texts_have_the_ids_of_whole_texts():
+    """White space of all kinds, contractions, marks that join with letters, and special tokens' strings in any order."""
+    rng = np.random.default_rng(1)
+    bits = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\u00a0", "\u2003", "\u3000", "\x85", "\x00", "'s", "'ll", "'", "a", "Word", "é", "e\u0301", "\u0301", "ß", "İ", "Σ", "12", "½", "漢", "“", "😀", ".", "--", "<|endoftext|>", "<|start"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder, whole = tokens.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        for _ in range(1500):
+            t = "".join(rng.choice(bits, rng.integers(1, 12)))
+            assert encoder.encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_files_round_trip(spark, odd_docs, no_docs, tmp_path, encoding):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    tokens.write_tokens(tokens.token_lists(tokens.in_order(docs), path, 2), f"file://{tmp_path}/t", encoding, row_group=1 << 20, page=4096)
+    tokens.write_tokens(tokens.in_order(docs, path, 2), f"file://{tmp_path}/t", encoding, row_group=1 << 20, page=4096)
     whole = Tokenizer.from_file(path)
     want, at = {}, 0
     for r in docs.orderBy("doc_id").collect():
@@ -37,18 +56,35 @@ def test_files_round_trip(spark, odd_docs, no_docs, tmp_path, encoding):
     assert {d: (starts[d], *crcs[d]) for d in crcs} == want
     files = sorted(str(p) for p in (tmp_path / "t").glob("*.parquet"))
     used = {e for f in files if pq.read_metadata(f).num_row_groups for i in range(2) for e in pq.read_metadata(f).row_group(0).column(i).encodings}
-    assert ("DELTA_BINARY_PACKED" if encoding == "delta" else "PLAIN_DICTIONARY") in used or "RLE_DICTIONARY" in used
-    tokens.write_tokens(tokens.token_lists(tokens.in_order(no_docs), path, 2), f"file://{tmp_path}/e")
+    assert ("DELTA_BINARY_PACKED" in used) == (encoding == "delta") and bool({"PLAIN_DICTIONARY", "RLE_DICTIONARY"} & used) == (encoding == "dictionary")
+    tokens.write_tokens(tokens.in_order(no_docs, path, 2), f"file://{tmp_path}/e")
     assert tokens.starts(spark, f"file://{tmp_path}/e").collect() == []
 
 
+def test_page_indexes_let_readers_skip(spark, tmp_path):
+    """Row groups and pages are as asked for, in order of doc_id, so a filter reads few of them."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), "id").alias("text"))
+    tokens.write_tokens(tokens.in_order(docs, public_tokenizers.path("word_bpe_49k.json"), 2), f"file://{tmp_path}/t", row_group=1 << 13, page=1 << 11)
+    last = -1
+    for f in sorted((tmp_path / "t").glob("*.parquet")):
+        meta = pq.read_metadata(f)
+        assert meta.num_row_groups > 1
+        for g in range(meta.num_row_groups):
+            column = meta.row_group(g).column(0)
+            assert column.has_column_index and column.has_offset_index
+            assert column.statistics.min > last
+            last = column.statistics.max
+    assert last == 29_999
+    plan = tokens.read_tokens(spark, f"file://{tmp_path}/t", ("doc_id", "n_tokens")).where("doc_id = 7")._jdf.queryExecution().toString()
+    assert "EqualTo(doc_id,7)" in plan and "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan
+
+
 def test_null_and_repeated_ids_are_whole(spark, odd_docs, no_docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
     docs = odd_docs.unionByName(odd_docs.where("doc_id is null").withColumn("text", F.lit("another"))).unionByName(odd_docs.where("doc_id = 2").withColumn("text", F.lit("A")))
     want, at = [], 0
-    for d, t in sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
-        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+    for d, ids in sorted(((r.doc_id, [*whole.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(map(tuple, tokens.token_table(docs).collect()), key=lambda r: r[1]) == want
@@ -137,7 +173,7 @@ def test_packing_query(spark, small, odd_docs, no_docs):
 def test_column_generation_prices_patterns_of_the_real_histogram():
     """Patterns come from pricing, not from the start alone; the packing lies between Farley's bound and one sequence a length more."""
     encoder, h = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), Counter()
-    for ids in encoder.encode_all([t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]):
+    for ids in encoder.encode_all([(t or "").encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]):
         h.update(packing.cuts(len(ids) // 4 + 1, 1024))
     full = h.pop(1024, 0)
     lengths = sorted(h)
