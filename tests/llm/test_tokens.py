@@ -44,7 +44,7 @@ def test_random_texts_have_the_ids_of_whole_texts():
 def test_files_round_trip(spark, odd_docs, no_docs, tmp_path, encoding):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    tokens.write_tokens(tokens.in_order(docs, path, 2), f"file://{tmp_path}/t", encoding, row_group=1 << 20, page=4096)
+    tokens.write_tokens(tokens.token_lists(tokens.in_order(docs), path, 2), f"file://{tmp_path}/t", encoding, row_group=1 << 20, page=4096)
     whole = Tokenizer.from_file(path)
     want, at = {}, 0
     for r in docs.orderBy("doc_id").collect():
@@ -57,14 +57,14 @@ def test_files_round_trip(spark, odd_docs, no_docs, tmp_path, encoding):
     files = sorted(str(p) for p in (tmp_path / "t").glob("*.parquet"))
     used = {e for f in files if pq.read_metadata(f).num_row_groups for i in range(2) for e in pq.read_metadata(f).row_group(0).column(i).encodings}
     assert ("DELTA_BINARY_PACKED" in used) == (encoding == "delta") and bool({"PLAIN_DICTIONARY", "RLE_DICTIONARY"} & used) == (encoding == "dictionary")
-    tokens.write_tokens(tokens.in_order(no_docs, path, 2), f"file://{tmp_path}/e")
+    tokens.write_tokens(tokens.token_lists(tokens.in_order(no_docs), path, 2), f"file://{tmp_path}/e")
     assert tokens.starts(spark, f"file://{tmp_path}/e").collect() == []
 
 
 def test_page_indexes_let_readers_skip(spark, tmp_path):
     """Row groups and pages are as asked for, in order of doc_id, so a filter reads few of them."""
     docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), "id").alias("text"))
-    tokens.write_tokens(tokens.in_order(docs, public_tokenizers.path("word_bpe_49k.json"), 2), f"file://{tmp_path}/t", row_group=1 << 13, page=1 << 11)
+    tokens.write_tokens(tokens.token_lists(tokens.in_order(docs), public_tokenizers.path("word_bpe_49k.json"), 2), f"file://{tmp_path}/t", row_group=1 << 13, page=1 << 11)
     last = -1
     for f in sorted((tmp_path / "t").glob("*.parquet")):
         meta = pq.read_metadata(f)
@@ -84,7 +84,8 @@ def test_null_and_repeated_ids_are_whole(spark, odd_docs, no_docs):
     whole = Tokenizer.from_file(path)
     docs = odd_docs.unionByName(odd_docs.where("doc_id is null").withColumn("text", F.lit("another"))).unionByName(odd_docs.where("doc_id = 2").withColumn("text", F.lit("A")))
     want, at = [], 0
-    for d, ids in sorted(((r.doc_id, [*whole.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    for d, t in sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(map(tuple, tokens.token_table(docs).collect()), key=lambda r: r[1]) == want
