@@ -10,22 +10,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, mixed, utf8, word_hashes
+from .common import cut, grams, mixed, utf8, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.75
-#: Bits of a fingerprint, and the radius: at similarity 0.75 fingerprints of different shingles differ in 22 bits with a deviation of 4.3. Repeated shingles outweigh the others, so windows and items with such are compared without fingerprints.
-BITS, RADIUS = 128, 40
-#: Blocks of a fingerprint; within the radius one block differs in RADIUS // BLOCKS bits at most.
+#: Bits of a fingerprint, and the radius: at similarity 0.75 fingerprints of different shingles differ in 44 bits with a deviation of 6.1. Repeated shingles outweigh the others, so windows and items with such are compared without fingerprints.
+BITS, RADIUS = 256, 63
+#: Blocks of 16 bits; within the radius one block differs in RADIUS // BLOCKS bits at most.
 BLOCKS = 16
-#: Benchmark items that one index holds; larger benchmarks are gone through in as many parts as needed.
-PART = 20_000
-_NEAR = RADIUS // BLOCKS
+#: Benchmark items, and bytes of them, that one index holds; larger benchmarks are gone through in as many parts as needed, one after the other.
+PART, PART_BYTES = 20_000, 16 << 20
+#: Places of a text that are fingerprinted at once, at most, besides a window's length.
+SPAN = 2048
+#: All values of a block within RADIUS // BLOCKS bits of 0.
+_NEAR = np.array([v for v in range(1 << 16) if v.bit_count() <= RADIUS // BLOCKS], np.uint16)
 
 
 def fingerprint_bits(hashes: np.ndarray) -> np.ndarray:
     """+1 or -1 per bit of each hash."""
-    both = np.stack([hashes, mixed(hashes + np.uint64(0x5851F42D4C957F2D))], axis=1)
+    both = np.stack([mixed(hashes + np.uint64(i * 0x5851F42D4C957F2D % (1 << 64))) for i in range(BITS // 64)], axis=1)
     return (np.unpackbits(both.view(np.uint8), axis=1).astype(np.int8) << 1) - 1
 
 
@@ -34,25 +37,40 @@ def packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=-1)
 
 
+def held_values(prints: np.ndarray) -> np.ndarray:
+    """For each block, which of its 2^16 values some fingerprint has."""
+    out = np.zeros((BLOCKS, 1 << 16), bool)
+    out[np.arange(BLOCKS), np.ascontiguousarray(prints).view(np.uint16)] = True
+    return out
+
+
 class Index:
-    """Items' fingerprints by blocks of 8 bits: all within RADIUS of a fingerprint are found, as one of its blocks lies within RADIUS // BLOCKS bits.
+    """Items' fingerprints by blocks of 16 bits: all within RADIUS of a fingerprint are found, as one of its blocks lies within RADIUS // BLOCKS bits.
 
-    For each block and each of its 256 values, the items whose block lies so near are kept as bits.
+    Each block has its items sorted by its value; a fingerprint probes all values that near which some item has (`held`). Of items with other fingerprints one in six shares such a block, and only these are compared in full.
     """
 
-    def __init__(self, prints: np.ndarray):
-        self.prints = prints
-        values = np.arange(256, dtype=np.uint8)
-        self.near = [np.bitwise_count(values[:, None] ^ prints[:, b]) <= _NEAR for b in range(BLOCKS)]
+    def __init__(self, prints: np.ndarray, held: np.ndarray):
+        self.prints, self.held = prints, held
+        blocks = np.ascontiguousarray(prints).view(np.uint16)
+        self.order = [np.argsort(blocks[:, b], kind="stable") for b in range(BLOCKS)]
+        self.sorted = [blocks[o, b] for b, o in enumerate(self.order)]
 
     def within(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of wanted, item) of all pairs within RADIUS."""
-        may = np.zeros((len(wanted), len(self.prints)), bool)
-        for b in range(BLOCKS):
-            may |= self.near[b][wanted[:, b]]
-        rows, items = np.nonzero(may)
-        close = np.bitwise_count(self.prints[items] ^ wanted[rows]).sum(axis=1) <= RADIUS
-        return rows[close], items[close]
+        n, pairs = len(self.prints), []
+        for at in range(0, len(wanted), 256):
+            probes = np.ascontiguousarray(wanted[at : at + 256]).view(np.uint16)[:, :, None] ^ _NEAR
+            for b in range(BLOCKS):
+                rows, which = np.nonzero(self.held[b][probes[:, b]])
+                values = probes[rows, b, which]
+                low, high = np.searchsorted(self.sorted[b], values), np.searchsorted(self.sorted[b], values, "right")
+                count = high - low
+                places = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+                pairs.append(np.repeat(at + rows, count) * n + self.order[b][places])
+        rows, items = np.divmod(np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64), n)
+        near = np.bitwise_count(self.prints[items] ^ wanted[rows]).sum(axis=1) <= RADIUS
+        return rows[near], items[near]
 
 
 class Benchmark:
@@ -74,7 +92,8 @@ class Benchmark:
             prints.append(packed(fingerprint_bits(found).sum(axis=0, dtype=np.int64)))
         self.repeats = np.array([len(x) < n for (x, _), n in zip(self.shingles, self.sizes, strict=True)], bool)
         self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        self.index = {shape: Index(np.stack([prints[i] for i in at])) for shape, at in self.by_shape.items()}
+        held = held_values(np.stack(prints)) if prints else None
+        self.index = {shape: Index(np.stack([prints[i] for i in at]), held) for shape, at in self.by_shape.items()}
         self.known = {k: np.unique(np.concatenate([self.shingles[i][0] for (_, kk), at in self.by_shape.items() if kk == k for i in at])) for k in {k for _, k in self.by_shape}}
         self.filter = {}
         for k, v in self.known.items():
@@ -149,17 +168,15 @@ class Benchmark:
                         score = self.similarity(i, window)
                         if score >= SIMILARITY and score > best.get(i, (0.0,))[0]:
                             best[i] = score, start, size + k - 1
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
-                for lo in range(0, len(run), 4096):
-                    part = run[lo : lo + 4096]
-                    bits = np.zeros((part[-1] + size - part[0] + 1, BITS), np.int32)
-                    np.cumsum(fingerprint_bits(s[part[0] : part[-1] + size]), axis=0, out=bits[1:])
-                    prints = packed(bits[part - part[0] + size] - bits[part - part[0]])
-                    for row, place in zip(*index.within(prints), strict=True):
-                        i, start = self.by_shape[(n, k)][place], int(part[row])
-                        score = self.similarity(i, s[start : start + size])
-                        if score >= SIMILARITY and score > best.get(i, (0.0,))[0]:
-                            best[i] = score, start, size + k - 1
+            for part in np.split(starts, np.flatnonzero(np.diff((starts - starts[0]) // SPAN)) + 1):
+                bits = np.zeros((part[-1] + size - part[0] + 1, BITS), np.int32)
+                np.cumsum(fingerprint_bits(s[part[0] : part[-1] + size]), axis=0, out=bits[1:])
+                prints = packed(bits[part - part[0] + size] - bits[part - part[0]])
+                for row, place in zip(*index.within(prints), strict=True):
+                    i, start = self.by_shape[(n, k)][place], int(part[row])
+                    score = self.similarity(i, s[start : start + size])
+                    if score >= SIMILARITY and score > best.get(i, (0.0,))[0]:
+                        best[i] = score, start, size + k - 1
         return [(self.ids[i], start, n, score) for i, (score, start, n) in sorted(best.items())]
 
     def similarity(self, i: int, window: np.ndarray) -> float:
@@ -174,46 +191,65 @@ class Benchmark:
 _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
 
 
-def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark in parts of about PART items, each with a bound on its size."""
+class _Part:
+    """Items of a benchmark, and their index, which a Python worker builds once."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.items, self.built = items, None
+
+    def index(self) -> Benchmark:
+        if self.built is None:
+            self.built = Benchmark(self.items)
+        return self.built
+
+
+def _parts(benchmark: DataFrame) -> Iterator[tuple[_Part, bool]]:
+    """The benchmark in parts of about PART items and PART_BYTES, each by itself, and whether there are several. Items and bytes bound what the driver and a broadcast hold; one item alone may be longer."""
     rows = benchmark.where("text is not null").select("item_id", "text")
-    parts = -(-rows.count() // PART)
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(-(-n // PART), -(-size // PART_BYTES))
     for i in range(parts):
-        yield [(r[0], r[1].encode()) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).orderBy("item_id").collect()]
+        yield _Part([(r[0], r[1].encode()) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).orderBy("item_id").collect()]), parts > 1
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): each benchmark item that a document holds with weighted-shingle similarity 0.75 or more, by its best window of the item's length.
 
-    Documents are read where they lie, once for each PART of the benchmark; null texts and items hold nothing. Items of fewer than five words are one shingle.
+    Documents are read where they lie, once for each part of the benchmark; of several parts, each one's leaks are written before the next is broadcast. Null texts and items hold nothing. Items of fewer than five words are one shingle. Each row of docs is decided by its own text, so rows that share a doc_id have rows of their own.
     """
-    out = None
-    for items in _parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    ddl, out = "doc_id long, item_id long, first_word long, n_words long, similarity double", None
+    for part, several in _parts(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shared.value)
+            bench = shared.value.index()
             for batch in batches:
                 rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True) for x in bench.leaks(t)]
                 yield pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_LEAKS)], schema=_LEAKS)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, first_word long, n_words long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, first_word long, n_words long, similarity double")
+        found = docs.select("doc_id", "text").mapInArrow(run, ddl)
+        if several:
+            found = cut(found)
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], ddl)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark item. Each row is decided by its own text, whether its doc_id is null, repeated or neither."""
     at = docs.columns.index("text")
-    for items in _parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    for part, several in _parts(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shared.value)
+            bench = shared.value.index()
             for batch in batches:
                 yield batch.filter(pa.array([not bench.leaks(t) for t in utf8(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if several:
+            docs = cut(docs)
+            shared.destroy()
     return docs
 
 

@@ -41,11 +41,34 @@ def test_parts_of_a_large_benchmark(spark, monkeypatch):
 
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
-    prints = rng.integers(0, 256, (300, decontaminate.BLOCKS), dtype=np.uint8)
-    wanted = prints[:50] ^ np.packbits(rng.random((50, decontaminate.BITS)) < 0.28, axis=1)
-    rows, items = decontaminate.Index(prints).within(wanted)
+    prints = rng.integers(0, 256, (300, decontaminate.BITS // 8), dtype=np.uint8)
+    wanted = np.concatenate([prints[:80] ^ np.packbits(rng.random((80, decontaminate.BITS)) < 0.23, axis=1), rng.integers(0, 256, (300, decontaminate.BITS // 8), dtype=np.uint8)])
+    rows, items = decontaminate.Index(prints, decontaminate.held_values(prints)).within(wanted)
     apart = np.bitwise_count(wanted[:, None] ^ prints[None]).sum(axis=2)
-    assert set(zip(rows, items, strict=True)) == set(zip(*np.nonzero(apart <= decontaminate.RADIUS), strict=True)) and len(rows) > 20
+    want = set(zip(*np.nonzero(apart <= decontaminate.RADIUS), strict=True))
+    assert set(zip(rows, items, strict=True)) == want and 20 < len(want) < 85
+    empty = decontaminate.Index(prints, decontaminate.held_values(prints)).within(prints[:0])
+    assert [len(x) for x in empty] == [0, 0]
+
+
+def test_blocks_leave_most_items_out():
+    """Of items with other fingerprints, the share that has a block as near is what chance gives: about a sixth."""
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 1 << 16, (2000, decontaminate.BLOCKS), dtype=np.uint16) for _ in range(2))
+    passed = (np.bitwise_count(a ^ b) <= decontaminate.RADIUS // decontaminate.BLOCKS).any(axis=1).mean()
+    assert passed < 0.2
+
+
+def test_fingerprints_of_similar_windows_lie_within_the_radius():
+    """Recall of the radius at the least similarity: 60 of 80 shingles shared."""
+    rng = np.random.default_rng(2)
+    found = 0
+    for _ in range(500):
+        x = rng.integers(0, 2**64, 70, dtype=np.uint64)
+        y = np.concatenate([x[:60], rng.integers(0, 2**64, 10, dtype=np.uint64)])
+        a, b = (decontaminate.packed(decontaminate.fingerprint_bits(v).sum(axis=0, dtype=np.int64)) for v in (x, y))
+        found += int(np.bitwise_count(a ^ b).sum()) <= decontaminate.RADIUS
+    assert found >= 495
 
 
 def test_windows_and_items_with_repeated_shingles_equal_brute_force(spark):
