@@ -18,10 +18,12 @@ HALF = 256
 FILTERS, WIDTH, LAGS = 16, 5, 32
 #: Bytes 0 before, between and after texts, so that neither filters nor echoes reach from one text into another.
 GAP = 48
+#: Labelled documents used for fitting at most, and bytes of their whole texts at most.
+SAMPLE, SAMPLE_BYTES = 2000, 8 << 20
 #: STEPS is the least number of batches.
-#: Labelled documents used for fitting at most, and halves taken from each, evenly spread over the whole text.
-SAMPLE, WINDOWS = 3000, 8
 EPOCHS, STEPS, BATCH, RATE = 12, 400, 64, 0.01
+#: Places whose filter values are held at once in scoring.
+AT_ONCE = 1 << 17
 #: A document is good from this score on.
 THRESHOLD = 0.3
 
@@ -74,14 +76,25 @@ def convolved(net: Network, s: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0, out=out)
 
 
-def pooled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text and filter: the largest chunk mean, the mean of all halves, and the first half of the largest chunk; and the halves' lengths."""
+def half_sums(net: Network, s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of filter values over each half, AT_ONCE places at a time; they don't depend on where the parts are cut."""
+    out, lo = np.zeros((len(starts), FILTERS), np.float32), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + AT_ONCE, "right")))
+        first = int(starts[lo])
+        values = convolved(net, s[first : int(ends[hi - 1]) + WIDTH])
+        out[lo:hi] = np.add.reduceat(values, np.stack([starts[lo:hi], ends[lo:hi]], axis=1).reshape(-1) - first, axis=0)[::2]  # what lies between the texts is in the odd rows
+        lo = hi
+    return out
+
+
+def pooled(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text and filter: the largest chunk mean, the mean of all halves, and the first half of the largest chunk; and the halves' lengths. sums: of filter values over each half."""
     texts = len(counts)
     top, mean, where = (np.zeros((texts, FILTERS), np.float32) for _ in range(3))
     lengths = (ends - starts).astype(np.float32)
     if not len(starts):
         return top, mean, where.astype(np.int64), lengths
-    sums = np.add.reduceat(values, np.stack([starts, ends], axis=1).reshape(-1), axis=0)[::2]  # what lies between the texts is in the odd rows
     some = np.flatnonzero(counts)
     first = np.cumsum(counts[some]) - counts[some]
     pair_sum, pair_len = sums.copy(), lengths.copy()
@@ -95,7 +108,7 @@ def pooled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.
     chunk = pair_sum / pair_len[:, None]
     chunk[lone] = -1
     top[some] = np.maximum.reduceat(chunk, first, axis=0)
-    mean[some] = np.add.reduceat(sums, first, axis=0) / np.add.reduceat(lengths, first)[:, None]
+    mean[some] = np.add.reduceat(sums.astype(np.float64), first, axis=0) / np.add.reduceat(lengths.astype(np.float64), first)[:, None]
     same = chunk == np.repeat(top[some], counts[some], axis=0)
     places = np.where(same, np.arange(len(starts))[:, None], len(starts))
     where[some] = np.minimum.reduceat(places, first, axis=0)
@@ -103,15 +116,46 @@ def pooled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.
 
 
 def scores(net: Network, texts: list[bytes]) -> np.ndarray:
-    """One probability per text, from all its chunks."""
+    """One probability per text, from all its chunks; the same whichever texts it lies between."""
     s, starts, ends, counts = batched(texts)
-    top, mean, _, _ = pooled(convolved(net, s), starts, ends, counts)
-    z = np.concatenate([top, mean], axis=1) @ net.weights + net.bias
+    top, mean, _, _ = pooled(half_sums(net, s, starts, ends), starts, ends, counts)
+    z = (np.concatenate([top, mean], axis=1) * net.weights).sum(axis=1) + net.bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def gradients(net: Network, s: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log loss of some texts: by the tables, the shift, the weights and the bias; back-propagated through both pools."""
+    values = convolved(net, s)
+    sums = np.add.reduceat(values, np.stack([starts, ends], axis=1).reshape(-1), axis=0)[::2] if len(starts) else np.zeros((0, FILTERS), np.float32)
+    top, mean, where, lengths = pooled(sums, starts, ends, counts)
+    z = np.concatenate([top, mean], axis=1)
+    p = 1 / (1 + np.exp(-np.clip(z @ net.weights + net.bias, -30, 30)))
+    g = (p - y) / len(y)
+    gz = g[:, None] * net.weights
+    owner = np.repeat(np.arange(len(y)), counts)
+    total = np.bincount(owner, lengths, len(y))
+    per_half = gz[owner, FILTERS:] / total[owner][:, None]
+    some = np.flatnonzero(counts)
+    h, f, share = where[some], np.arange(FILTERS)[None, :], gz[some, :FILTERS]
+    ahead = np.minimum(h + 1, max(len(owner) - 1, 0))
+    two = (h + 1 < len(owner)) & (owner[ahead] == some[:, None])  # whether the largest chunk has a second half
+    share = share / (lengths[h] + np.where(two, lengths[ahead], 0))
+    np.add.at(per_half, (h, np.broadcast_to(f, h.shape)), share)
+    np.add.at(per_half, (ahead, np.broadcast_to(f, h.shape)), np.where(two, share, 0))
+    flow = np.zeros_like(values)
+    for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        flow[a:b] = per_half[k]
+    flow *= values > 0
+    tables = np.empty_like(net.tables)
+    for j in range(WIDTH):
+        part = flow[: len(s) - j]
+        for f in range(FILTERS):
+            tables[j, :, f] = np.bincount(s[j:], weights=part[:, f], minlength=512)
+    return [tables, flow.sum(axis=0), z.T @ g, np.array(g.sum())]
+
+
 def fitted(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
-    """A network fitted by Adam with back-propagation through both pools; without labels of both kinds it scores all texts alike."""
+    """A network fitted by Adam to whole texts; without labels of both kinds it scores all texts alike."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.25, (WIDTH, 512, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, 2 * FILTERS).astype(np.float32), 0.0)
     y = np.array(labels, np.float32)
@@ -121,7 +165,7 @@ def fitted(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
         return net
     net.bias = float(np.log(y.mean() / (1 - y.mean())))
     ready = [batched([t]) for t in texts]
-    params = [net.tables, net.shift, net.weights, np.array([net.bias], np.float32)]
+    params = [net.tables, net.shift, net.weights, np.array(net.bias, np.float32)]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(texts)))):  # few documents are gone through more often
         order = rng.permutation(len(texts))
@@ -131,42 +175,14 @@ def fitted(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
             counts = np.concatenate([ready[i][3] for i in take])
             shifts = np.cumsum([0, *(len(ready[i][0]) for i in take[:-1])])
             starts, ends = (np.concatenate([ready[i][k] + d for i, d in zip(take, shifts, strict=True)]).astype(np.int64) for k in (1, 2))
-            values = convolved(net, s)
-            top, mean, where, lengths = pooled(values, starts, ends, counts)
-            z = np.concatenate([top, mean], axis=1)
-            p = 1 / (1 + np.exp(-np.clip(z @ net.weights + params[3][0], -30, 30)))
-            g = (p - y[take]) / len(take)
-            gz = g[:, None] * net.weights
-            owner = np.repeat(np.arange(len(take)), counts)
-            total = np.zeros(len(take), np.float32)
-            np.add.at(total, owner, lengths)
-            per_half = gz[owner, FILTERS:] / total[owner][:, None]
-            for i in np.flatnonzero(counts):
-                for f in range(FILTERS):
-                    h = where[i, f]
-                    last = h + 1 < len(owner) and owner[h + 1] == i
-                    size = lengths[h] + (lengths[h + 1] if last else 0)
-                    per_half[h, f] += gz[i, f] / size
-                    if last:
-                        per_half[h + 1, f] += gz[i, f] / size
-            flow = np.zeros_like(values)
-            inside = np.zeros(len(values) + 1, np.int8)
-            np.add.at(inside, starts, 1)
-            np.add.at(inside, ends, -1)
-            flow[np.cumsum(inside[:-1]) > 0] = np.repeat(per_half, lengths.astype(np.int64), axis=0)
-            flow *= values > 0
-            tables = np.empty_like(net.tables)
-            for j in range(WIDTH):
-                part = flow[: len(s) - j]
-                for f in range(FILTERS):
-                    tables[j, :, f] = np.bincount(s[j:], weights=part[:, f], minlength=512)
-            grads = [tables, flow.sum(axis=0), z.T @ g + 1e-3 * net.weights, np.array([g.sum()], np.float32)]
+            grads = gradients(net, s, starts, ends, counts, y[take])
+            grads[2] += 1e-3 * net.weights
             step += 1
             for p_, g_, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (g_ - m)
                 v += 0.001 * (g_ * g_ - v)
                 p_ -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    net.bias = float(params[3][0])
+            net.bias = float(params[3])
     return net
 
 
@@ -176,25 +192,24 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """A network from labelled documents that aren't held out.
+    """A network from whole texts of labelled documents that aren't held out.
 
-    At most SAMPLE documents, those of the least hash of their id, and of each at most WINDOWS halves spread evenly over the whole text: the bound of what the driver gathers. Rows without label or text are left out; of repeated ids all rows count.
+    Documents are taken by the least hash of their id, at most SAMPLE and as many as SAMPLE_BYTES hold: the bound of what the driver gathers. Rows without label or text are left out; of texts that share an id the least counts, of its labels the least.
     """
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = []
-            for t in utf8(batch.column(1)):
-                n = -(-len(t) // HALF)
-                at = sorted({round(i) for i in np.linspace(0, max(n - 1, 0), min(n, WINDOWS))})
-                cut.append(b"".join(t[HALF * i : HALF * (i + 1)] for i in at))
-            yield pa.record_batch([batch.column(0), pa.array(cut, pa.binary()), batch.column(2)], names=["doc_id", "raw", "quality"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(windows, "doc_id long, raw binary, quality int")
-    rows = sorted(((r[0], bytes(r[1]), r[2]) for r in rows.collect()))[: 2 * SAMPLE]
-    return fitted([r[1] for r in rows if r[1]], [r[2] for r in rows if r[1]])
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") > 0)
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "quality", F.octet_length("text").alias("size"))
+    taken, total = [], 0
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if total + r.size > SAMPLE_BYTES and taken:
+            break
+        taken.append((r.doc_id, r.quality))
+        total += r.size
+    few = docs.sparkSession.createDataFrame(taken, "doc_id long, quality int")
+    rows = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    rows = sorted((r.doc_id, r.text.encode(), r.quality) for r in rows)
+    return fitted([r[1] for r in rows], [r[2] for r in rows])
 
 
 def scored(docs: DataFrame, net: Network, columns: list[str], name: str = "score") -> DataFrame:
@@ -212,7 +227,7 @@ def scored(docs: DataFrame, net: Network, columns: list[str], name: str = "score
                 while n < len(texts) and (n == k or size + len(texts[n]) <= 1 << 18):
                     size += len(texts[n])
                     n += 1
-                out.append(_long(shared.value, texts[k]) if n == k + 1 and size > 1 << 20 else scores(shared.value, texts[k:n]))
+                out.append(scores(shared.value, texts[k:n]))
                 k = n
             yield pa.record_batch([*batch.columns[:at], pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*columns, name])
 
@@ -220,27 +235,6 @@ def scored(docs: DataFrame, net: Network, columns: list[str], name: str = "score
     return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def _long(net: Network, text: bytes, part: int = 1 << 20) -> np.ndarray:
-    """The score of one very long text, by parts of whole halves that each see the half behind them and GAP bytes before: but for rounding that of the text in one piece."""
-    top, total = np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float64)
-    gap = b"\0" * GAP
-    for at in range(0, len(text), part):
-        if at and len(text) - at <= HALF:  # the last half alone is no chunk, but is in the chunk before
-            s = symbols(np.frombuffer(text[at - GAP : at] + text[at:] + gap, np.uint8))
-            total += convolved(net, s)[GAP : GAP + len(text) - at].sum(axis=0)
-            break
-        end = min(at + part + HALF, len(text))
-        s = symbols(np.frombuffer((text[at - GAP : at] if at else gap) + text[at : end + GAP] + (gap if end + GAP > len(text) else b""), np.uint8))
-        n = -(-(end - at) // HALF)
-        starts = GAP + HALF * np.arange(n)
-        ends = np.minimum(starts + HALF, GAP + end - at)
-        values = convolved(net, s)
-        top = np.maximum(top, pooled(values, starts, ends, np.array([n]))[0][0])
-        total += values[GAP : GAP + min(part, len(text) - at)].sum(axis=0, dtype=np.float64)
-    z = np.concatenate([top, total / max(len(text), 1)]) @ net.weights + net.bias
-    return np.array([1 / (1 + np.exp(-np.clip(z, -30, 30)))])
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """docs without those scored below THRESHOLD; fitted on `source` (docs if not given)."""
     net = fit(source or docs, labels)
