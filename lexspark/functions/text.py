@@ -14,7 +14,7 @@ TONE_MARKS = {"2": "́", "3": "̀", "5": "̂", "7": "̄", "8": "̍", "9": "̆"}
 PARTICLES = ("a", "e", "i", "o", "u", "m", "ng")
 SOURCE_WEIGHTS = {"moe": 1000, "itaigi": 800, "taihoa": 500, "maryknoll": 300, "embree": 300, "kamjitian": 250, "taijit": 200, "pehoe": 200, "sitbut": 200}
 OTHER_WEIGHT = 100
-HALF_WIDTH = {"，": ",", "。": ".", "！": "!", "？": "?", "：": ":", "「": '"', "（": "(", "）": ")"}
+HALF_WIDTH = {"，": ",", "。": ".", "！": "!", "？": "?", "：": ":", "「": '"', "」": '"', "（": "(", "）": ")"}
 WEEKDAYS_HAN = ("禮拜日", "拜一", "拜二", "拜三", "拜四", "拜五", "拜六")
 WEEKDAYS_ROMAN = ("Lé-pài-ji̍t", "Pài-it", "Pài-jī", "Pài-sann", "Pài-sì", "Pài-gōo", "Pài-la̍k")
 
@@ -25,6 +25,8 @@ _WORD_END = r"(?![\p{L}\p{N}_])"
 #: Blocks of Han characters in the basic plane.
 HAN = r"[一-鿿㐀-䶿]"
 CHARACTER = "(?s)."
+#: White space that parts words: Unicode's and the four separators U+001C to U+001F; spelled out, as a class of single characters is quicker than a Unicode property.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def lit(x) -> Column:
@@ -139,7 +141,7 @@ def numbered_all(c: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: joined(w, "-", syllable)), " ")
 
 
-# --- spelling systems -----------------------------------------------------------------------
+# --- spelling systems; the pairs of letters and their order are fixed values -----------------
 
 
 def tl_to_poj_words(c: Column) -> Column:
@@ -209,7 +211,7 @@ def capitalised(c: Column) -> Column:
     return F.when(c.rlike("^[a-z]"), F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, F.lit(2), F.length(c)))).otherwise(c)
 
 
-#: Spelling rules in order: (pattern, replacement); each adds variants to those found so far.
+# Spelling rules in order, (pattern, replacement); each adds variants to those found so far.
 SPELLING_RULES = (("[1-9]$", ""), ("^ts", "ch"), ("^tsh", "chh"), ("^j", "l"), ("ing", "eng"), ("ik", "ek"), ("ua", "oa"), ("ue", "oe"), ("oo", "ou"), ("nn", "ⁿ"), ("ph", "f"), ("nng", "ng"), ("h$", ""))
 #: The rule for initials, of low priority.
 ABBREVIATION = "^([ptkmnbglsjhiuc]g?s?h?h?).*"
@@ -229,12 +231,21 @@ def abbreviation(c: Column) -> Column:
 
 
 def _words(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")
+    return F.regexp_extract_all(c, F.lit(f"[^{SPACE}]+"), F.lit(0))
+
+
+#: A word without what isn't Latin at its edges: from its first letter to its last letter, digit or hyphen.
+_CORE = rf"[a-zA-Z](?:[^{SPACE}]*[a-zA-Z0-9\-])?"
 
 
 def edge_stripped(c: Column) -> Column:
-    """Words without what isn't Latin at their edges; empty ones are dropped."""
-    return F.filter(F.transform(_words(c), lambda x: F.regexp_replace(x, r"^[^a-zA-Z]+|[^a-zA-Z0-9\-]+$", "")), lambda x: x != "")
+    """Words without what isn't Latin at their edges; empty ones are dropped. One pass of one pattern over the text: nothing is left of a word behind its match that could match again."""
+    return F.regexp_extract_all(c, F.lit(_CORE), F.lit(0))
+
+
+def slots(c: Column) -> Column:
+    """edge_stripped with an empty text in the place of each word that has no letter."""
+    return F.regexp_extract_all(c, F.lit(rf"(?=[^{SPACE}])[^{SPACE}a-zA-Z]*+({_CORE})?[^{SPACE}]*"), F.lit(1))
 
 
 def is_token(c: Column) -> Column:

@@ -79,12 +79,17 @@ def _rewritten(text: Column, roman: Column, lo: Column) -> tuple[Column, Column]
     return out, (roman != "") & (whole | ((F.size(ts) == F.size(rs)) & (parts != text)))
 
 
-def rewritten(df: DataFrame, lo_words: list[str], mode: int = 0) -> DataFrame:
+def lo_words_of(rules: DataFrame) -> Column:
+    """The words that (word, type) rules write in Latin letters, as an array for `rewritten`: a scalar subquery, run with the plan that uses it. Rules are a table of some hundred rows."""
+    return rules.where("type = 'lo'").agg(F.collect_set("word")).scalar()
+
+
+def rewritten(df: DataFrame, lo_words: list[str] | Column, mode: int = 0) -> DataFrame:
     """The core filter: texts in Han or Latin by rule, comments with marked romanisation, quality raised for romanised and long texts. Order stays.
 
-    Modes 0 and 1 (other spelling) raise by the text's length; 2 and 3 by its syllables. lo_words: the words that rules write in Latin letters (a small table of fixed rules).
+    Modes 0 and 1 (other spelling) raise by the text's length; 2 and 3 by its syllables. lo_words: the words that rules write in Latin letters, as a list or an array column (lo_words_of).
     """
-    lo = F.array(*map(F.lit, lo_words)) if lo_words else F.array().cast("array<string>")
+    lo = lo_words if isinstance(lo_words, Column) else F.array(*map(F.lit, lo_words)) if lo_words else F.array().cast("array<string>")
     raw = _synced(F.col("text"), T.bracketed(F.coalesce("comment", F.lit(""))))
     df = df.withColumn("_raw", raw)
     text, has = _rewritten(F.col("text"), F.col("_raw"), lo)
@@ -115,10 +120,10 @@ def recommended(df: DataFrame, words: DataFrame, enabled: bool = True) -> DataFr
     """
     if not enabled:
         return df
-    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    longest = F.coalesce(words.agg(F.max(F.length("word"))).scalar(), F.lit(1))
     texts = df.select("text").distinct().where("text <> ''")
     n = F.length("text")
-    spans = texts.select("text", F.explode(F.sequence(F.lit(1), n)).alias("at")).select("text", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.length("text") - F.col("at") + 1))).alias("n"))
+    spans = texts.select("text", F.explode(F.sequence(F.lit(1), n)).alias("at")).select("text", "at", F.explode(F.sequence(F.lit(1), F.least(longest, F.length("text") - F.col("at") + 1))).alias("n"))
     hits = spans.select("text", F.substring("text", F.col("at"), F.col("n")).alias("word")).join(words, "word").groupBy("text").agg(F.bool_or(F.col("type") == "han").alias("_han"), F.bool_or(F.col("type") == "lo").alias("_lo"))
     mark = F.concat(F.when(F.col("_han"), F.lit("◆")).otherwise(F.lit("")), F.when(F.col("_lo"), F.lit("★")).otherwise(F.lit("")), F.lit(" "))
     at = F.instr(F.col("comment"), "[")
@@ -156,7 +161,7 @@ def paged(df: DataFrame, size: int = 10, keys: str = "asdfghjkl;") -> DataFrame:
     return df.withColumns({"page": F.floor((F.col("pos") - 1) / size).cast("int"), "on_page": at.cast("int"), "key": F.substring(F.lit(keys), at.cast("int") + 1, F.lit(1))})
 
 
-def chain(df: DataFrame, rules: DataFrame, lo_words: list[str], words: DataFrame, mode: int = 0) -> DataFrame:
+def chain(df: DataFrame, rules: DataFrame, lo_words: list[str] | Column, words: DataFrame, mode: int = 0) -> DataFrame:
     """All filters in order: light tones, rewriting, both spellings, recommendations, synonyms, long words, readings, unique texts."""
     out = with_light_tones(df, rules)
     out = with_both_spellings(rewritten(out, lo_words, mode))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 
 
 def token_rows(lines: DataFrame, column: str = "line", tokens=T.tokens) -> DataFrame:
-    """(token): one row per token of a text column."""
-    return lines.select(F.explode(tokens(F.col(column))).alias("token"))
+    """(token): one row per token of a text column. Words are exploded first and chosen as plain columns, which compiles; a lambda over an array doesn't."""
+    if tokens is not T.tokens:
+        return lines.select(F.explode(tokens(F.col(column))).alias("token"))
+    return lines.select(F.explode(T.edge_stripped(F.col(column))).alias("token")).where(T.is_token(F.col("token")))
 
 
 def token_counts(lines: DataFrame, column: str = "line", tokens=T.tokens) -> DataFrame:
@@ -26,23 +28,23 @@ def merged_counts(*tables: DataFrame) -> DataFrame:
     return out.groupBy("word").agg(F.sum("cnt").alias("cnt"))
 
 
-def sentences(lines: DataFrame, column: str = "line", tokens=T.tokens) -> DataFrame:
-    """(tokens) of lines that have any."""
-    return lines.select(tokens(F.col(column)).alias("tokens")).where("size(tokens) > 0")
-
-
-def pair_array(tokens: Column) -> Column:
-    """Neighbouring pairs of a token array; a blank token parts its neighbours and pairs with none."""
-    n = F.size(tokens)
-    first, second = F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(n - 1, F.lit(0)))
-    pairs = F.zip_with(first, second, lambda a, b: F.struct(F.trim(a).alias("w1"), F.trim(b).alias("w2")))
-    return F.filter(pairs, lambda p: (p["w1"] != "") & (p["w2"] != ""))
+def sentences(lines: DataFrame, column: str = "line", tokens=T.tokens, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(tokens), behind the columns to keep, of lines that have any. A condition on a generated column isn't pushed below it, so tokens are made once."""
+    rows = lines.where(F.col(column).rlike("[a-zA-Z]")) if tokens in (T.tokens, T.edge_stripped) else lines
+    if tokens is T.edge_stripped:  # a letter makes a word
+        return rows.select(*keep, tokens(F.col(column)).alias("tokens"))
+    return rows.select(*keep, F.explode(F.array(tokens(F.col(column)))).alias("tokens")).where("size(tokens) > 0")
 
 
 def pair_counts(sentences_: DataFrame, tokens: str = "tokens", min_count: int = 1) -> DataFrame:
-    """(w1, w2, cnt) of neighbouring tokens, tones dropped. Pairs are made within each row, so nothing is shuffled but the counts."""
-    bare = F.transform(F.col(tokens), T.strip_all_tones)
-    rows = sentences_.select(F.explode(pair_array(bare)).alias("p")).select("p.w1", "p.w2")
+    """(w1, w2, cnt) of neighbouring tokens, tones dropped; a blank token parts its neighbours and pairs with none.
+
+    Each array is paired with itself, one place on, so nothing is shuffled but the counts; words are trimmed and tones dropped as plain columns.
+    """
+    t = sentences_.select(F.col(tokens).alias("t"))
+    rows = t.select(F.explode(F.arrays_zip(F.expr("slice(t, 1, greatest(size(t) - 1, 0))").alias("w1"), F.expr("slice(t, 2, greatest(size(t) - 1, 0))").alias("w2"))).alias("p"))
+    bare = lambda c: F.trim(T.strip_all_tones(F.col(c)))
+    rows = rows.select(bare("p.w1").alias("w1"), bare("p.w2").alias("w2")).where("w1 <> '' AND w2 <> ''")
     return rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= min_count)
 
 

@@ -28,6 +28,19 @@ def resolved_segments(segments: DataFrame, texts: DataFrame, suffixes: DataFrame
     return segments.join(suffixes, "kip", "left").join(one, "kip", "left").withColumn("hanzi", F.coalesce("hanzi", "_one")).drop("_one")
 
 
+def ordered_light_words(counts: DataFrame) -> DataFrame:
+    """light_words by falling count, equals by the word."""
+    return light_words(counts).orderBy(F.desc("cnt"), "word")
+
+
+def resolved_tails(words: DataFrame, texts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(word, ok, tail) of words in `parts`: whether all parts behind the first are resolved, and their texts joined by marks (unresolved ones as they are)."""
+    rows = words.select("word", F.posexplode(F.expr("slice(parts, 2, size(parts) - 1)")).alias("at", "kip"))
+    rows = resolved_segments(rows, texts, suffixes)
+    listed = F.array_sort(F.collect_list(F.struct("at", F.coalesce("hanzi", "kip").alias("t"))))
+    return rows.groupBy("word").agg(F.bool_and(F.col("hanzi").isNotNull()).alias("ok"), F.array_join(F.transform(listed, lambda x: x["t"]), "--").alias("tail"))
+
+
 def found_texts(words: DataFrame, lexicon: DataFrame, rules: DataFrame) -> DataFrame:
     """(word, hanlo): marked texts of each word.
 
@@ -40,9 +53,7 @@ def found_texts(words: DataFrame, lexicon: DataFrame, rules: DataFrame) -> DataF
     whole = whole.join(texts, "kip").select("word", "before", F.explode("texts").alias("plain")).withColumn("hanlo", T.with_light_mark(F.col("plain"), F.col("before")))
     whole = whole.where("contains(hanlo, '--') AND hanlo <> plain").select("word", "hanlo")
     rest = parts.join(whole.select("word").distinct(), "word", "left_anti")
-    tails = rest.select("word", F.posexplode(F.slice("parts", 2, 100)).alias("at", "kip"))
-    tails = resolved_segments(tails, texts, suffixes).groupBy("word").agg(F.bool_and(F.col("hanzi").isNotNull()).alias("ok"), F.array_sort(F.collect_list(F.struct("at", "hanzi"))).alias("t"))
-    tails = tails.where("ok").select("word", F.array_join(F.transform("t", lambda x: x["hanzi"]), "--").alias("tail"))
+    tails = resolved_tails(rest, texts, suffixes).where("ok").select("word", "tail")
     heads = rest.select("word", F.element_at("parts", 1).alias("kip")).join(texts, "kip").select("word", F.explode("texts").alias("head"))
     made = heads.join(tails, "word").select("word", F.concat_ws("--", "head", "tail").alias("hanlo"))
     return whole.unionByName(made)

@@ -14,6 +14,52 @@ FINALS = tuple(
     "ua uah uai uaih uak uan uang uat ue ueh ui uih ann enn inn onn ainn aunn iann ionn iunn iaunn uann uainn uinn ainnh annh aunnh ennh innh onnh unnh iannh iaunnh iunnh uainnh uinnh "
     "er erh ere ir irh irn ioo m mh ng ngh nng".split()
 )
+# Texts and comments of the help, the abbreviations and the symbols, in order.
+HELP = (
+    ("漢羅/全羅", "F4切換 漢羅↔全羅模式"),
+    ("TL/POJ", "F4切換 TL↔POJ 羅馬字系統"),
+    ("\\", "切換輸出：漢羅↔全羅（當前候選）"),
+    ("[  ]", "以詞定字：[ 首字、] 尾字"),
+    ("'", "同音選字：輸入後按 ' 查同音字"),
+    ("~", "注音反查→台語（選字後送回台語輸入）"),
+    ("`", "符號選單（調號/方音/標點）"),
+    ("?", "萬用查字（?iah → 選音節 → 選字）"),
+    (";", "造詞模式（;拼音 → 查字典選字）"),
+    ("vvh", "本說明"),
+    ("vvjit", "台語日期時間"),
+    ("vvsp", "簡拼提示表"),
+)
+_NAMES = ("波 (p)", "頗 (ph)", "門 (b)", "毛 (m)", "地 (t)", "他 (th)", "耐 (n)", "柳 (l)", "求 (k)", "去 (kh)", "語 (g)", "雅 (ng)", "曾 (ts/ch)", "出 (tsh/chh)", "時 (s)", "入 (j/l)", "喜 (h)")
+ABBREVIATIONS = (
+    *((f"{i}-", f"{i:<3} → {n}") for i, n in zip(INITIALS[1:], _NAMES, strict=True)),
+    ("---", "─" * 14),
+    ("用法", "聲母 + Enter = 快速選字"),
+    ("例", "ts → 曾/做/走/... (所有 ts- 開頭字)"),
+    ("提示", "schema algebra 已設定 abbrev 規則"),
+)
+SYMBOLS = (
+    ("á", "第二聲 (TL)"),
+    ("à", "第三聲 (TL)"),
+    ("â", "第五聲 (TL)"),
+    ("ā", "第七聲 (TL)"),
+    ("a̍", "第八聲 (TL)"),
+    ("o͘", "POJ oo (o͘)"),
+    ("ⁿ", "鼻化上標 (ⁿ)"),
+    ("ㆠ", "方音 b"),
+    ("ㆣ", "方音 g"),
+    ("ㄫ", "方音 ng"),
+    ("ㆢ", "方音 j"),
+    ("ㆦ", "方音 oo"),
+    ("ㆤ", "方音 ee"),
+    ("ㆰ", "方音 am"),
+    ("ㆱ", "方音 om"),
+    ("ㆲ", "方音 ong"),
+    ("ㆬ", "方音 m (韻母)"),
+    ("ㆭ", "方音 ng (韻母)"),
+    ("--", "輕聲連字號 (--)"),
+    ("、", "頓號"),
+    ("。", "句號"),
+)
 #: Entries that a predictive look-up gives at most.
 LIMIT = 100
 
@@ -30,9 +76,16 @@ def route(c: Column) -> Column:
     )
 
 
+#: Parts in which the entries of one input are ranked first.
+PARTS = 16
+
+
 def _top(df: DataFrame, k: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "rime_key", "hanlo"))
-    return df.withColumn("pos", place).where(F.col("pos") <= k)
+    """The k weightiest entries of each input. They are first ranked in PARTS parts of which k stay each, so a one-letter input that meets much of the lexicon is no single task."""
+    order = (F.desc("weight"), "rime_key", "hanlo")
+    part = F.pmod(F.xxhash64("hanlo", "rime_key"), F.lit(PARTS))
+    few = df.withColumn("_part", part).withColumn("_at", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_at") <= k).drop("_part", "_at")
+    return few.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("pos") <= k)
 
 
 def exact(queries: DataFrame, lexicon: DataFrame, k: int = LIMIT) -> DataFrame:
@@ -145,10 +198,12 @@ def toneless_rules(rules: DataFrame, fixed: bool = False) -> DataFrame:
     return rules.where("rule <> '不處理'").select(tail.alias("tail"), "hanzi", "rule", "seq")
 
 
-def symbols(queries: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows of a static table by the input behind its first character."""
-    asked = queries.where(route(F.col("input")) == "symbol").select("query_id", F.substring("input", F.lit(2), F.length("input")).alias("key"))
-    return asked.join(F.broadcast(table), "key")
+def static_rows(queries: DataFrame) -> DataFrame:
+    """(query_id, seq, text, comment): help for `vvh`, abbreviations for `vvsp`, symbols for inputs that start with a backtick."""
+    rows = [(k, i, *row) for k, table in (("vvh", HELP), ("vvsp", ABBREVIATIONS), ("`", SYMBOLS)) for i, row in enumerate(table)]
+    fixed = queries.sparkSession.createDataFrame(rows, "_key string, seq int, text string, comment string")
+    key = F.when(F.startswith("input", F.lit("`")), F.lit("`")).otherwise(F.col("input"))
+    return queries.select("query_id", key.alias("_key")).join(F.broadcast(fixed), "_key").drop("_key")  # some fifty fixed rows
 
 
 def dates(queries: DataFrame, day: Column) -> DataFrame:

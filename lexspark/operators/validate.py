@@ -20,7 +20,7 @@ def violations(spark, path: str) -> DataFrame:
     heads = lines.groupBy("file").agg(F.bool_or(F.trim("value") == "---").alias("start"), F.min(F.when(F.trim("value") == "...", F.col("line_no"))).alias("end"))
     no_start = heads.where("NOT start").select("file", F.lit(0).alias("line_no"), F.lit("header").alias("kind"), F.lit("").alias("value"))
     no_end = heads.where("end IS NULL").select("file", F.lit(0).alias("line_no"), F.lit("terminator").alias("kind"), F.lit("").alias("value"))
-    body = lines.join(F.broadcast(heads.where("end IS NOT NULL").select("file", "end")), "file").where("line_no > end AND trim(value) <> '' AND NOT startswith(value, '#')")
+    body = lines.join(heads.where("end IS NOT NULL").select("file", "end"), "file").where("line_no > end AND trim(value) <> '' AND NOT startswith(value, '#')")
     body = body.withColumn("f", F.split("value", "\t", -1))
     short = body.where("size(f) < 2").select("file", "line_no", F.lit("format").alias("kind"), "value")
     keyed = body.where("size(f) >= 2").select("file", "line_no", "value", F.get("f", F.lit(0)).alias("k1"), F.get("f", F.lit(1)).alias("k2"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.operators import corpus, lexicon
+from lexspark.operators import corpus, lexicon, phrases
+from lexspark.sources.sinks import sentence_line
 
 from .registry import register
 
@@ -29,11 +30,11 @@ def token_freq(spark, sf_dir):
     return corpus.token_counts(table(spark, sf_dir, "documents"), "text")
 
 
-@register("token_freq_all", f"SELECT token AS word, count(*) AS cnt FROM ({_stripped('documents')}) WHERE token <> '' GROUP BY token ORDER BY cnt DESC, word LIMIT 1000")
+@register("token_freq_all", f"SELECT token AS word, count(*) AS cnt FROM ({_stripped('documents')}) WHERE token <> '' GROUP BY token ORDER BY cnt DESC, word")
 def token_freq_all(spark, sf_dir):
-    """The thousand most frequent words (a top-k report)."""
+    """All words by falling count."""
     counts = corpus.token_counts(table(spark, sf_dir, "documents"), "text", T.edge_stripped)
-    return counts.orderBy(F.desc("cnt"), "word").limit(1000)
+    return counts.orderBy(F.desc("cnt"), "word")
 
 
 @register(
@@ -73,8 +74,8 @@ SELECT doc_id, n::INTEGER AS line_no, array_to_string(tokens, ' ') AS sentence,
 )
 def sentence_tokens(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = lines.select("doc_id", "line_no", T.edge_stripped(F.col("line")).alias("tokens")).where("size(tokens) > 0")
-    return rows.select("doc_id", "line_no", F.array_join("tokens", " ").alias("sentence"), F.size("tokens").alias("n_tokens"))
+    rows = corpus.sentences(lines, "line", T.edge_stripped, ("doc_id", "line_no"))
+    return rows.select("doc_id", "line_no", sentence_line().alias("sentence"), F.size("tokens").alias("n_tokens"))
 
 
 _PAIRS = f"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '{SPACE}'), lambda x: regexp_replace(regexp_replace(x, '^[^a-zA-Z]+|[^a-zA-Z0-9-]+$', '', 'g'), '[1-9]', '', 'g')), lambda x: true) AS w FROM documents),
@@ -82,35 +83,27 @@ r AS (SELECT unnest(list_zip(w[:-2], w[2:])) AS p FROM t WHERE len(w) > 1)
 SELECT p[1] AS w1, p[2] AS w2, count(*) AS cnt FROM r WHERE p[1] <> '' AND p[2] <> '' GROUP BY ALL"""
 
 
-def _slots(text):
-    """Edge-stripped words with the empty ones in place."""
-    return F.transform(F.split(text, r"(?U)[\s\x1c-\x1f]+", -1), lambda x: F.regexp_replace(x, r"^[^a-zA-Z]+|[^a-zA-Z0-9\-]+$", ""))
-
-
 @register("bigram_count", _PAIRS.replace("GROUP BY ALL", "GROUP BY ALL HAVING count(*) >= 5"))
 def bigram_count(spark, sf_dir):
     """A blank word parts its neighbours: it isn't bridged."""
-    rows = table(spark, sf_dir, "documents").select(_slots(F.col("text")).alias("tokens"))
+    rows = table(spark, sf_dir, "documents").select(T.slots(F.col("text")).alias("tokens"))
     return corpus.pair_counts(rows, min_count=5)
 
 
 @register(
     "phrase_entries",
     f"""WITH pairs AS ({_PAIRS}),
-lex AS (SELECT text, code, weight FROM (SELECT '字' || token AS text, token AS code, count(*) AS weight FROM ({_stripped('documents')}) WHERE token <> '' GROUP BY token)),
-best AS (SELECT lower(code) AS k, arg_min(text, {{'a': -weight, 'b': code}}) AS text, arg_min(code, {{'a': -weight, 'b': code}}) AS code FROM lex WHERE NOT regexp_matches(code, '[1-9]') GROUP BY 1)
+lex AS (SELECT '字' || lower(token) AS text, token AS code, count(*) AS weight FROM ({_stripped('documents')}) WHERE token <> '' GROUP BY token),
+best AS (SELECT regexp_replace(code, '[1-9]', '', 'g') AS k, arg_min(text, {{'a': -weight, 'b': code}}) AS text, arg_min(code, {{'a': -weight, 'b': code}}) AS code FROM lex GROUP BY 1)
 SELECT a.text || b.text AS hanlo, a.code || ' ' || b.code AS rime_key, max(trunc(500 * (1 + log10(1 + cnt) * 0.3)))::INTEGER AS weight
-FROM pairs JOIN best a ON a.k = lower(w1) JOIN best b ON b.k = lower(w2) WHERE cnt >= 5 AND NOT EXISTS (SELECT 1 FROM lex WHERE lex.text = a.text || b.text AND lex.code = a.code || ' ' || b.code) GROUP BY 1, 2""",
+FROM pairs JOIN best a ON a.k = replace(w1, '-', ' ') JOIN best b ON b.k = replace(w2, '-', ' ') WHERE cnt >= 5 AND NOT EXISTS (SELECT 1 FROM lex WHERE lex.text = a.text || b.text AND lex.code = a.code || ' ' || b.code) GROUP BY 1, 2""",
 )
 def phrase_entries(spark, sf_dir):
-    """Pairs of documents' words with the most frequent spelling of each as its text."""
+    """Pairs of documents' words, with the documents' own words as lexicon."""
     docs = table(spark, sf_dir, "documents")
-    pairs = corpus.pair_counts(docs.select(_slots(F.col("text")).alias("tokens")), min_count=5)
-    lex = corpus.token_counts(docs, "text", T.edge_stripped).select(F.concat(F.lit("字"), "word").alias("hanlo"), F.col("word").alias("rime_key"), F.col("cnt").alias("weight"), F.col("word").alias("seq"))
-    best = lex.where("NOT rlike(rime_key, '[1-9]')").groupBy(F.lower("rime_key").alias("k")).agg(F.min_by(F.struct(F.col("hanlo").alias("text"), F.col("rime_key").alias("code")), F.struct(-F.col("weight"), F.col("seq"))).alias("b"))
-    rows = pairs.withColumns({"k1": F.lower("w1"), "k2": F.lower("w2")}).join(best.select(F.col("k").alias("k1"), F.col("b").alias("b1")), "k1").join(best.select(F.col("k").alias("k2"), F.col("b").alias("b2")), "k2")
-    out = rows.groupBy(F.concat("b1.text", "b2.text").alias("hanlo"), F.concat_ws(" ", "b1.code", "b2.code").alias("rime_key")).agg(F.max(T.phrase_weight(F.col("cnt"))).alias("weight"))
-    return lexicon.without(out, lex, ["hanlo", "rime_key"])
+    pairs = corpus.pair_counts(docs.select(T.slots(F.col("text")).alias("tokens")), min_count=5)
+    lex = corpus.token_counts(docs, "text", T.edge_stripped).select(F.concat(F.lit("字"), F.lower("word")).alias("hanlo"), F.col("word").alias("rime_key"), F.col("cnt").alias("weight"), F.col("word").alias("seq"))
+    return phrases.phrase_entries(pairs, lex, match="toneless")
 
 
 @register(

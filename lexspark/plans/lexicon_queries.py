@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.operators import candidates, lexicon, lighttone, lookup, validate
+from lexspark.operators import candidates, glossmap, lexicon, lighttone, lookup, validate
+from lexspark.sources import readers
+from lexspark.streaming import sessions
 
 from .corpus_queries import table
-from .registry import register
+from .registry import ORACLE, register
 
 _SOURCES = tuple(T.SOURCE_WEIGHTS.items())
 _BRAND = "CASE right(p_brand, 1) " + " ".join(f"WHEN '{i + 1}' THEN '{s}'" for i, (s, _) in enumerate(_SOURCES[:4])) + " ELSE 'other' END"
@@ -99,8 +101,9 @@ def weight_by_code(spark, sf_dir):
 
 @register("ordered_list_agg", "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS parts FROM lineitem GROUP BY l_orderkey")
 def ordered_list_agg(spark, sf_dir):
-    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(listed, lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
+    """Lineitems as definitions of their orders, in the order of their lines."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("主編碼"), F.col("l_partkey").cast("string").alias("釋義"), F.lit("").alias("_file"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("_row"))
+    return readers.definitions(rows).select(F.col("moe_id").cast("long").alias("l_orderkey"), F.array_join("definitions", ",").alias("parts"))
 
 
 _ARG = "{'a': l_returnflag = 'R', 'b': l_linenumber = l_suppkey % 7, 'c': l_quantity, 'd': -l_orderkey, 'e': -l_linenumber, 'f': -l_extendedprice}"
@@ -129,30 +132,42 @@ def anti_join_existing(spark, sf_dir):
 
 
 def _light(spark, sf_dir):
-    """Words with a light-tone mark made of the parts' names, a lexicon of the parts' types, and rules for some suffixes."""
-    p = table(spark, sf_dir, "part").select("p_name", "p_partkey", "p_type", F.split("p_name", " ").alias("w"))
-    lex = p.select(F.concat(F.lit("甲"), F.substring("p_type", 1, 3)).alias("hanlo"), F.element_at("w", 1).alias("rime_key"), F.lit(500).alias("weight"), F.col("p_partkey").alias("seq"))
+    """Words with a light-tone mark made of the parts' names; a lexicon of first words and, for large parts, of whole names; rules for some suffixes."""
+    p = table(spark, sf_dir, "part").select("p_name", "p_partkey", "p_type", "p_size", F.split("p_name", " ").alias("w"))
+    one = p.select(F.concat(F.lit("甲"), F.substring("p_type", 1, 3)).alias("hanlo"), F.element_at("w", 1).alias("rime_key"), F.lit(500).alias("weight"), F.col("p_partkey").alias("seq"))
+    two = p.where("p_size > 48").select(F.concat(F.lit("乙"), F.left("p_type", F.lit(1)), F.lit("丙")).alias("hanlo"), F.col("p_name").alias("rime_key"), (F.col("p_size") * 9).alias("weight"), F.col("p_partkey").alias("seq"))
     words = p.select(F.array_join("w", "--").alias("word"), F.col("p_partkey").alias("n")).groupBy("word").agg(F.count("n").alias("cnt"))
     rules = p.where("w[1] >= 'm'").select(F.element_at("w", 2).alias("tl"), F.upper(F.element_at("w", 2)).alias("hanzi"), F.lit("補語").alias("rule"), F.col("p_partkey").alias("seq"))
-    return words, lex, rules
+    return words, one.unionByName(two), rules
 
 
 _RULES = "suf AS (SELECT DISTINCT w[2] AS kip, upper(w[2]) AS hanzi FROM p WHERE w[2] >= 'm')"
 _LEX = "txt AS (SELECT w[1] AS kip, list_sort(list(DISTINCT '甲' || left(p_type, 3))) AS texts FROM p GROUP BY 1)"
 _P = "p AS (SELECT *, string_split(p_name, ' ') AS w FROM part)"
+_FOUND = f"""{_P}, {_RULES}, {_LEX}, words AS (SELECT DISTINCT w[1] || '--' || w[2] AS word, w[1] AS head, w[2] AS tail FROM p),
+whole AS (SELECT DISTINCT w[1] || '--' || w[2] AS word, '乙--' || left(p_type, 1) || '丙' AS hanlo FROM p WHERE p_size > 48),
+t AS (SELECT words.*, coalesce(suf.hanzi, CASE WHEN len(one.texts) = 1 THEN one.texts[1] END) AS hz FROM words LEFT JOIN suf ON suf.kip = tail LEFT JOIN txt one ON one.kip = tail WHERE word NOT IN (SELECT word FROM whole)),
+found AS (SELECT * FROM whole UNION ALL SELECT word, h || '--' || hz AS hanlo FROM (SELECT word, hz, unnest(texts) AS h FROM t JOIN txt ON txt.kip = head WHERE hz IS NOT NULL))"""
 
 
-@register(
-    "fallback_join",
-    f"""WITH {_P}, {_RULES}, {_LEX}, words AS (SELECT DISTINCT w[1] || '--' || w[2] AS word, w[1] AS head, w[2] AS tail FROM p),
-t AS (SELECT words.*, coalesce(suf.hanzi, CASE WHEN len(one.texts) = 1 THEN one.texts[1] END) AS hz FROM words LEFT JOIN suf ON suf.kip = tail LEFT JOIN txt one ON one.kip = tail)
-SELECT word, h || '--' || hz AS hanlo FROM (SELECT word, hz, unnest(texts) AS h FROM t JOIN txt ON txt.kip = head WHERE hz IS NOT NULL)""",
-)
+@register("fallback_join", f"WITH {_FOUND} SELECT word, hanlo FROM found")
 def fallback_join(spark, sf_dir):
+    """Texts of whole words where there are any, else put together from segments."""
     words, lex, rules = _light(spark, sf_dir)
     return lighttone.found_texts(words, lex, rules)
 
 
+@register(
+    "light_tone_entries",
+    f"""WITH {_FOUND}, cnt AS (SELECT w[1] || '--' || w[2] AS word, count(*) AS n FROM p GROUP BY 1), cap AS (SELECT replace(p_name, ' ', '--') AS word, max(p_size * 9) AS plain FROM part WHERE p_size > 48 GROUP BY 1),
+r AS (SELECT hanlo, replace(word, '--', '  ') AS rime_key, plain, least(1500, greatest(300, trunc(300 + log10(1 + n) * 150)::BIGINT)) AS raw FROM found JOIN cnt USING (word) LEFT JOIN cap USING (word))
+SELECT DISTINCT hanlo, rime_key, (CASE WHEN plain IS NULL THEN raw ELSE greatest(300, least(raw, plain - 100)) END)::BIGINT AS weight FROM r""",
+)
+def light_tone_entries(spark, sf_dir):
+    words, lex, rules = _light(spark, sf_dir)
+    return lighttone.light_tone_entries(words, lex, rules).withColumn("weight", F.col("weight").cast("long"))
+
+
 @register(
     "single_candidate_resolve",
     f"""WITH {_P}, {_RULES}, {_LEX}, s AS (SELECT DISTINCT unnest(w) AS kip FROM p)
@@ -166,28 +181,50 @@ def single_candidate_resolve(spark, sf_dir):
 
 @register(
     "all_segments_resolved",
-    f"""WITH {_P}, {_RULES}, n AS (SELECT DISTINCT p_name, w FROM p), s AS (SELECT p_name, unnest(w) AS kip, generate_subscripts(w, 1) AS place FROM n)
-SELECT p_name, bool_and(hanzi IS NOT NULL) AS ok, string_agg(coalesce(hanzi, kip), '--' ORDER BY place) AS assembled FROM s LEFT JOIN suf USING (kip) GROUP BY p_name""",
+    """WITH n AS (SELECT DISTINCT replace(lower(p_name || ' ' || p_type), ' ', '--') AS word FROM part), s AS (SELECT word, unnest(string_split(word, '--')[2:]) AS kip, generate_subscripts(string_split(word, '--')[2:], 1) AS place FROM n),
+suf AS (SELECT DISTINCT w AS kip, upper(w) || '字' AS hanzi FROM (SELECT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part) WHERE w >= 'm')
+SELECT word, bool_and(hanzi IS NOT NULL) AS ok, string_agg(coalesce(hanzi, kip), '--' ORDER BY place) AS tail FROM s LEFT JOIN suf USING (kip) GROUP BY word""",
 )
 def all_segments_resolved(spark, sf_dir):
-    words, _, rules = _light(spark, sf_dir)
-    segments = words.select(F.replace("word", F.lit("--"), F.lit(" ")).alias("p_name"), F.posexplode(F.split("word", "--")).alias("at", "kip"))
-    rows = segments.join(lighttone.suffix_texts(rules), "kip", "left")
-    listed = F.array_sort(F.collect_list(F.struct("at", F.coalesce("hanzi", "kip").alias("t"))))
-    return rows.groupBy("p_name").agg(F.bool_and(F.col("hanzi").isNotNull()).alias("ok"), F.array_join(F.transform(listed, lambda x: x["t"]), "--").alias("assembled"))
+    """Words of three parts, by rules alone."""
+    kinds = table(spark, sf_dir, "part").select(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("w"), F.col("p_partkey").alias("seq"))
+    words = kinds.select(F.array_join("w", "--").alias("word")).distinct().select("word", F.split("word", "--").alias("parts"))
+    rules = kinds.select("seq", F.explode("w").alias("tl")).where("tl >= 'm'").select("tl", F.concat(F.upper("tl"), F.lit("字")).alias("hanzi"), "seq")
+    none = lexicon.texts_by_code(spark.createDataFrame([], "hanlo string, rime_key string"))
+    return lighttone.resolved_tails(words, none, lighttone.suffix_texts(rules))
+
+
+@register(
+    "gloss_map_build",
+    """WITH g AS (SELECT p_partkey AS seq, (p_size % 4 + 1) AS priority, replace(p_name, ' ', '-') AS kip, string_split(translate(lower(p_type || ' ' || p_name), 'abdeilnorstcghkmpu', '食飯好人大水火山口手日月木金土心石田'), ' ') AS w FROM part),
+r AS (SELECT seq, priority, kip, w[1] AS hanlo, CASE WHEN seq % 2 = 0 THEN left(w[-1], 2) ELSE w[1] || '、' || w[-1] END AS hoabun FROM g),
+w AS (SELECT *, list_filter(string_split(hoabun, '、'), lambda x: len(x) <= 6 AND regexp_matches(x, '[一-鿿㐀-䶿]')) AS words FROM r),
+n AS (SELECT kip, priority, seq, hanlo, len(words) AS n, unnest(words) AS mandarin, generate_subscripts(words, 1) AS place FROM w),
+m AS (SELECT mandarin, arg_min(replace(kip, '-', ' '), {'p': NOT (n = 1 OR mandarin = hanlo), 'f': len(string_split(kip, '-')) <> len(regexp_extract_all(mandarin, '[一-鿿㐀-䶿]')), 'w': -priority, 's': seq, 'a': place}) AS kip FROM n GROUP BY mandarin),
+h AS (SELECT *, regexp_extract_all(mandarin, '[一-鿿㐀-䶿]') AS han FROM n),
+c AS (SELECT unnest(han) AS mandarin, unnest(string_split(kip, '-')) AS kip, seq, place, unnest(range(len(han))) AS c FROM h WHERE len(han) = len(string_split(kip, '-')) AND len(han) >= 2),
+d AS (SELECT mandarin, arg_min(kip, {'s': seq, 'a': place, 'c': c}) AS kip FROM c GROUP BY mandarin)
+SELECT * FROM m UNION ALL SELECT * FROM d WHERE mandarin NOT IN (SELECT mandarin FROM m)""",
+)
+def gloss_map_build(spark, sf_dir):
+    """The parts' types, respelled in Han, as glosses of their names: words of up to six characters, and characters of two-character words."""
+    p = table(spark, sf_dir, "part")
+    w = p.select(F.col("p_partkey").alias("seq"), (F.col("p_size") % 4 + 1).alias("priority"), F.replace("p_name", F.lit(" "), F.lit("-")).alias("kip"), F.split(F.translate(F.lower(F.concat_ws(" ", "p_type", "p_name")), "abdeilnorstcghkmpu", "食飯好人大水火山口手日月木金土心石田"), " ").alias("w"))
+    hoabun = F.when(F.col("seq") % 2 == 0, F.left(F.element_at("w", -1), F.lit(2))).otherwise(F.concat(F.element_at("w", 1), F.lit("、"), F.element_at("w", -1)))
+    return glossmap.gloss_map(w.select("seq", "priority", "kip", F.element_at("w", 1).alias("hanlo"), hoabun.alias("hoabun")))
 
 
 @register(
     "longest_suffix_match",
     """WITH p AS (SELECT p_partkey AS id, string_split(p_type || ' ' || p_name, ' ') AS s FROM part),
-r AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS tail FROM part WHERE p_partkey % 3 = 0 UNION SELECT DISTINCT replace(p_name, ' ', '-') FROM part WHERE p_partkey % 2 = 0),
+r AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS tail FROM part WHERE p_name >= 'l' UNION SELECT DISTINCT replace(p_name, ' ', '-') FROM part WHERE p_name < 'p'),
 t AS (SELECT id, n, array_to_string(s[-n:], '-') AS tail FROM (SELECT id, list_transform(s, lambda x: lower(x)) AS s, unnest(range(1, least(3, len(s) - 1) + 1)) AS n FROM p)),
 m AS (SELECT id, n, tail FROM t JOIN r USING (tail)) SELECT id, n::INTEGER AS n, tail FROM m QUALIFY n = max(n) OVER (PARTITION BY id)""",
 )
 def longest_suffix_match(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     codes = p.select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_type", "p_name"), " ").alias("syllables"))
-    rules = p.where("p_partkey % 3 = 0").select(F.element_at(F.split("p_name", " "), 2).alias("tail")).unionByName(p.where("p_partkey % 2 = 0").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("tail"))).distinct()
+    rules = p.where("p_name >= 'l'").select(F.element_at(F.split("p_name", " "), 2).alias("tail")).unionByName(p.where("p_name < 'p'").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("tail"))).distinct()
     return lookup.longest_suffix(codes, rules).select("id", "n", "tail")
 
 
@@ -235,14 +272,55 @@ def wildcard_expand(spark, sf_dir):
 
 @register(
     "wildcard_counts",
-    """WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS code, p_type FROM part), c AS (SELECT DISTINCT left(code, 2) AS code FROM w),
-r AS (SELECT c.code, w.p_type, row_number() OVER (PARTITION BY c.code ORDER BY w.code, w.p_type) AS pos FROM c JOIN w ON starts_with(w.code, c.code)) SELECT code, count(DISTINCT p_type) AS n FROM r WHERE pos <= 100 GROUP BY code""",
+    ORACLE["wildcard_expand"].replace("SELECT query_id::BIGINT AS query_id, code, min(seq)::INTEGER AS seq FROM c WHERE code <> '' GROUP BY ALL", """, e AS (SELECT query_id::BIGINT AS query_id, code, min(seq)::INTEGER AS seq FROM c WHERE code <> '' GROUP BY ALL),
+w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS rime_key, p_type FROM part), d AS (SELECT DISTINCT code FROM e),
+r AS (SELECT d.code, w.p_type, row_number() OVER (PARTITION BY d.code ORDER BY w.rime_key, w.p_type) AS pos FROM d JOIN w ON starts_with(w.rime_key, d.code)),
+k AS (SELECT code, count(DISTINCT p_type) AS n FROM r WHERE pos <= 100 GROUP BY code) SELECT query_id, code, seq, n FROM e JOIN k USING (code)"""),
 )
 def wildcard_counts(spark, sf_dir):
-    """Distinct texts of codes among the first hundred entries of each (the look-up's own limit)."""
+    """What each wildcard may stand for, with the distinct texts among the first hundred entries of each (the look-up's own limit)."""
     lex = table(spark, sf_dir, "part").select(F.element_at(F.split("p_name", " "), 1).alias("rime_key"), F.col("p_type").alias("hanlo")).distinct().withColumn("weight", F.lit(1))
-    codes = lex.select(F.left("rime_key", F.lit(2)).alias("input")).distinct().withColumn("query_id", F.col("input"))
-    return lookup.prefix(codes, lex).groupBy(F.col("input").alias("code")).agg(F.count_distinct("hanlo").alias("n"))
+    return lookup.wildcard(spark.createDataFrame(list(_WILD), "query_id long, input string"), lex)
+
+
+_PHRASES = ((1, ";s"), (2, ";la"), (3, ";zz"), (4, "s"), (5, ";m"))
+
+
+@register(
+    "phrase_lookup",
+    f"""WITH q(query_id, input) AS (VALUES {', '.join(f"({i}, '{x[1:]}')" for i, x in _PHRASES if x[0] == ';')}), w AS (SELECT split_part(p_name, ' ', 1) AS rime_key, left(p_type, 5) AS hanlo, max(p_size) AS weight FROM part GROUP BY ALL),
+r AS (SELECT query_id, hanlo, rime_key, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, rime_key, hanlo) AS pos FROM q JOIN w ON starts_with(rime_key, input)),
+f AS (SELECT query_id, hanlo, min(pos)::INTEGER AS pos, arg_min(rime_key, pos) AS rime_key FROM r WHERE pos <= 100 GROUP BY ALL) SELECT query_id::BIGINT AS query_id, input, hanlo, pos, rime_key FROM q LEFT JOIN f USING (query_id)""",
+)
+def phrase_lookup(spark, sf_dir):
+    """Texts for phrase inputs, each once; an input without any has a row that says so."""
+    lex = table(spark, sf_dir, "part").groupBy(F.element_at(F.split("p_name", " "), 1).alias("rime_key"), F.left("p_type", F.lit(5)).alias("hanlo")).agg(F.max("p_size").alias("weight"))
+    return lookup.phrase(spark.createDataFrame(list(_PHRASES), "query_id long, input string"), lex)
+
+
+@register(
+    "session_states",
+    """WITH e AS (SELECT user_id AS session_id, event_id AS seq, (['letter','shift_letter','tab','space','select','escape','nav','punct','apostrophe','release','digit'])[event_id % 11 + 1] AS kind, value > 20 AS composing, value > 40 AS menu, length(event_type) % 2 = 0 AS full_roman, value < 10 AS has_code,
+CASE WHEN event_id % 11 = 7 THEN ([',', '.', '?'])[event_id % 3 + 1] ELSE left(event_type, (1 + event_id % 2)::INTEGER) END AS text FROM events),
+s AS (SELECT *, kind IN ('space', 'select') AND composing AND menu AS commits, text IN ('.', '!', '?') AS ends, NOT composing AND NOT menu AS idle FROM e),
+x AS (SELECT *, CASE WHEN kind = 'shift_letter' AND NOT composing THEN true WHEN commits AND full_roman THEN false WHEN kind = 'punct' AND full_roman AND (composing OR ends) THEN ends END AS caps,
+CASE WHEN kind = 'release' THEN NULL WHEN kind = 'tab' AND menu THEN true WHEN NOT composing THEN false WHEN kind NOT IN ('nav', 'tab') THEN false END AS mode,
+CASE WHEN kind = 'release' THEN NULL WHEN commits THEN CASE WHEN length(text) = 1 THEN text ELSE '' END WHEN idle AND kind = 'apostrophe' THEN CASE WHEN has_code THEN '' END WHEN idle AND kind <> 'shift_letter' AND NOT (kind = 'punct' AND full_roman) THEN '' END AS last FROM s)
+SELECT session_id, seq, coalesce(last_value(caps IGNORE NULLS) OVER w, true) AS capitalise_next, coalesce(last_value(mode IGNORE NULLS) OVER w, false) AS selecting, nullif(last_value(last IGNORE NULLS) OVER w, '') AS last_text FROM x WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+)
+def session_states(spark, sf_dir):
+    """Events as key events of their users: the state behind each."""
+    return sessions.session_states(key_events(spark, sf_dir)).select("session_id", "seq", "capitalise_next", "selecting", "last_text")
+
+
+def key_events(spark, sf_dir):
+    n = F.col("event_id")
+    kinds = F.array(*map(F.lit, ("letter", "shift_letter", "tab", "space", "select", "escape", "nav", "punct", "apostrophe", "release", "digit")))
+    marks = F.array(*map(F.lit, (",", ".", "?")))
+    at = lambda values, k: F.element_at(values, (n % k + 1).cast("int"))
+    text = F.when(n % 11 == 7, at(marks, 3)).otherwise(F.left("event_type", (1 + n % 2).cast("int")))
+    flags = {"composing": F.col("value") > 20, "menu": F.col("value") > 40, "full_roman": F.length("event_type") % 2 == 0, "has_code": F.col("value") < 10}
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), n.alias("seq"), at(kinds, 11).alias("kind"), *(c.alias(k) for k, c in flags.items()), text.alias("text"))
 
 
 _CAND = "SELECT p_brand AS query_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS pos, p_type || repeat('字', (p_partkey % 4)::INTEGER) AS text, p_partkey FROM part"
@@ -277,7 +355,7 @@ def paging(spark, sf_dir):
 
 @register(
     "candidate_light_tones",
-    """WITH c AS (SELECT p_partkey AS query_id, '一二三四' AS text, string_split(p_type || ' ' || p_name, ' ') AS s FROM part), r AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS tail FROM part WHERE p_partkey % 3 = 0),
+    """WITH c AS (SELECT p_partkey AS query_id, '一二三四' AS text, string_split(p_type || ' ' || p_name, ' ') AS s FROM part), r AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS tail FROM part WHERE p_name >= 'p'),
 v AS (SELECT c.query_id, left(text, len(s) - 1) || '--' || upper(tail) AS text, ' [' || array_to_string(s[:-2], ' ') || '--' || s[-1] || ']' AS comment, 2 AS pos FROM c JOIN r ON lower(s[-1]) = tail)
 SELECT query_id, text, ' [' || array_to_string(s, ' ') || ']' AS comment, 1 AS pos FROM c UNION ALL SELECT query_id, text, comment, pos FROM v""",
 )
@@ -285,7 +363,7 @@ def candidate_light_tones(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     rows = p.select(F.col("p_partkey").alias("query_id"), F.lit(1).alias("pos"), F.lit("一二三四").alias("text"), F.concat(F.lit(" ["), F.concat_ws(" ", "p_type", "p_name"), F.lit("]")).alias("comment"), F.lit(1.0).alias("quality"))
     tail = F.element_at(F.split("p_name", " "), 2)
-    rules = p.where("p_partkey % 3 = 0").select(tail.alias("tail"), F.upper(tail).alias("hanzi"), F.lit(0).alias("seq")).distinct()
+    rules = p.where("p_name >= 'p'").select(tail.alias("tail"), F.upper(tail).alias("hanzi"), F.lit(0).alias("seq")).distinct()
     return candidates.with_light_tones(rows, rules).select("query_id", "text", "comment", "pos")
 
 
@@ -301,16 +379,20 @@ def candidate_recommended(spark, sf_dir):
     return candidates.recommended(rows, words).select("query_id", "comment")
 
 
+_TEXTS = "p_name || ' ' || left(p_type, 4) || p_size % 5"
+
+
 @register(
     "code_chain_lookup",
-    "WITH t AS (SELECT DISTINCT p_name AS text FROM part), a AS (SELECT p_name AS text, arg_min(p_type, {'a': -p_size, 'b': p_partkey}) AS code FROM part WHERE p_partkey % 50 = 0 GROUP BY p_name), b AS (SELECT p_name AS text, max(p_brand) AS code FROM part WHERE p_partkey % 50 = 1 GROUP BY p_name) SELECT text, coalesce(a.code, b.code) AS code FROM t LEFT JOIN a USING (text) LEFT JOIN b USING (text)",
+    f"""WITH t AS (SELECT DISTINCT {_TEXTS} AS text FROM part), a AS (SELECT {_TEXTS} AS text, arg_min(p_type, {{'a': -p_size, 'b': p_partkey}}) AS code FROM part WHERE contains(p_type, 'BRASS') GROUP BY 1),
+b AS (SELECT {_TEXTS} AS text, max(p_brand) AS code FROM part WHERE right(p_brand, 1) = '3' GROUP BY 1) SELECT text, coalesce(a.code, b.code) AS code FROM t LEFT JOIN a USING (text) LEFT JOIN b USING (text)""",
 )
 def code_chain_lookup(spark, sf_dir):
-    """Codes of the first table, else of the second, else null; the two tables hold a fiftieth of the parts each so that all three cases occur."""
-    p = table(spark, sf_dir, "part")
-    reverse = p.where("p_partkey % 50 = 0").select(F.col("p_name").alias("hanlo"), F.col("p_type").alias("rime_key"), F.col("p_size").alias("weight"), F.col("p_partkey").alias("seq"))
-    glosses = p.where("p_partkey % 50 = 1").groupBy(F.col("p_name").alias("mandarin")).agg(F.max("p_brand").alias("kip"))
-    return lookup.codes_of(p.select(F.col("p_name").alias("text")).distinct(), reverse, glosses).select("text", "code")
+    """Codes of the first table, brass parts, else of the second, parts of some brands, else null."""
+    p = table(spark, sf_dir, "part").withColumn("text", F.concat("p_name", F.lit(" "), F.left("p_type", F.lit(4)), (F.col("p_size") % 5).cast("string")))
+    reverse = p.where("contains(p_type, 'BRASS')").select(F.col("text").alias("hanlo"), F.col("p_type").alias("rime_key"), F.col("p_size").alias("weight"), F.col("p_partkey").alias("seq"))
+    glosses = p.where("right(p_brand, 1) = '3'").groupBy(F.col("text").alias("mandarin")).agg(F.max("p_brand").alias("kip"))
+    return lookup.codes_of(p.select("text").distinct(), reverse, glosses).select("text", "code")
 
 
 @register(

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,16 +80,26 @@ def source_of(file_name: Column) -> Column:
     return F.coalesce(*(F.when(F.contains(file_name, F.lit(k)), F.lit(v)) for k, v in SOURCE_FILES.items()))
 
 
-def dictionary_files(folder: str, prefix: str = "ChhoeTaigi_") -> list[tuple[str, str]]:
-    """(path, source) of the known dictionary files of a local or mounted folder, sorted by name."""
-    names = sorted(n for n in os.listdir(folder) if n.startswith(prefix) and n.endswith(".csv"))
-    return [(os.path.join(folder, n), s) for n in names for k, s in SOURCE_FILES.items() if k in n]
+def found(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
+    """Paths of the files below a path whose names fit, sorted by name; none if there is no such path. Spark lists them, so any store that it reads will do; no content is read."""
+    try:
+        rows = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup=True).load(path).select("path").collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return []
+        raise
+    return sorted((r.path for r in rows), key=lambda x: (x.rpartition("/")[2], x))
+
+
+def dictionary_files(spark: SparkSession, folder: str, prefix: str = "ChhoeTaigi_") -> list[tuple[str, str]]:
+    """(path, source) of the known dictionary files of a folder, sorted by name."""
+    return [(x, s) for x in found(spark, folder, f"{prefix}*.csv") for k, s in SOURCE_FILES.items() if k in x.rpartition("/")[2]]
 
 
 def dictionary_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Entries of all dictionaries of a folder: itaigi, then taihoa, then the others by file name."""
     parts = []
-    for path, source in dictionary_files(folder):
+    for path, source in dictionary_files(spark, folder):
         df = csv(spark, path)
         parts.append(itaigi_entries(df) if source == "itaigi" else taihoa_entries(df) if source == "taihoa" else generic_entries(df, source))
     return union(parts)
@@ -108,7 +117,7 @@ def union(parts: list[DataFrame]) -> DataFrame:
 def gloss_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(hoabun, kip, priority, hanlo, seq) of the four dictionaries that gloss maps are made of."""
     parts = []
-    for path, source in dictionary_files(folder):
+    for path, source in dictionary_files(spark, folder):
         if source in GLOSS_PRIORITY:
             df = csv(spark, path)
             kip = T.first_code(either(cell(df, "KipInput"), cell(df, "PojInput")))
@@ -165,6 +174,25 @@ def first_with_rows(*frames: DataFrame) -> DataFrame:
     return frames[-1]
 
 
+def textbook_corpus(spark: SparkSession, *folders: str) -> DataFrame:
+    """chapter_corpus of the first folder that holds JSON files."""
+    for folder in folders:
+        if found(spark, folder, "*.json"):
+            return chapter_corpus(spark, folder)
+    raise ValueError("no sources")
+
+
+def literary_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of the works in JSON files; without any, of the text files."""
+    return first_with_rows(works_corpus(spark, path), line_corpus(spark, path, "*.{tbk,txt}").where("trim(line) <> ''"))
+
+
+def poj_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of lists of lines in JSON files; only if they give no line, of the text files. Lines are respelled from the other system."""
+    lines = first_with_rows(lines_corpus(spark, path), line_corpus(spark, path, "*.txt").where("trim(line) <> ''"))
+    return lines.select(T.poj_to_tl(F.trim("line")).alias("line"))
+
+
 def readings_corpus(df: DataFrame) -> DataFrame:
     """(line) of the reading columns of a dictionary, one line each."""
     return df.select(F.explode(F.array(*(cell(df, c) for c in READING_COLUMNS))).alias("line")).where("line <> ''")
@@ -190,9 +218,9 @@ def definitions(df: DataFrame) -> DataFrame:
 
 
 def sniffed_separator(spark: SparkSession, path: str, head: int = 1024) -> str:
-    """TAB if one occurs in the first characters, else comma."""
-    first = spark.read.option("wholetext", True).text(path).select(F.contains(F.left("value", F.lit(head)), F.lit("\t")).alias("tab")).first()
-    return "\t" if first and first.tab else ","
+    """TAB if one occurs in the first characters, else comma. Only the first lines are read."""
+    lines = spark.read.text(path).select(F.left("value", F.lit(head)).alias("value")).limit(head).collect()
+    return "\t" if "\t" in "\n".join(r.value for r in lines)[:head] else ","
 
 
 def writing_rules(df: DataFrame) -> DataFrame:
@@ -212,6 +240,28 @@ def light_tone_rules_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", F.monotonically_increasing_id().alias("seq"))
 
 
+def _unquoted(c: Column) -> Column:
+    return F.regexp_replace(c, r"""^(['"])(.*)\1$""", "$2")
+
+
+def writing_rules_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """(word, type, kip, hoabun, seq) from blocks of a word and its indented fields; comments and blank lines are skipped, of repeated fields and words the last holds."""
+    lines = numbered_lines(spark, path).where(r"NOT value RLIKE '^\\s*(#|$)'")
+    head, field = F.regexp_extract("value", r"^([^\s].*?):$", 1), r"^\s+(\w+):\s*(.*)$"
+    block = F.max(F.when(head != "", F.col("line_no"))).over(Window.partitionBy("file").orderBy("line_no"))
+    rows = lines.select("file", "line_no", head.alias("head"), F.regexp_extract("value", field, 1).alias("key"), F.regexp_extract("value", field, 2).alias("text"), block.alias("block")).where("block IS NOT NULL")
+    of = lambda k: F.coalesce(F.max_by("text", F.when(F.col("key") == k, F.col("line_no"))), F.lit(""))
+    fields = rows.groupBy("file", "block").agg(F.max_by("head", F.when(F.col("head") != "", F.col("line_no"))).alias("word"), *(_unquoted(of(k)).alias(k) for k in ("type", "kip", "hoabun")))
+    fields = fields.withColumns({"word": _unquoted(F.col("word")), "seq": F.struct("file", F.col("block").alias("line_no"))})
+    return fields.groupBy("word").agg(F.max_by(F.struct("type", "kip", "hoabun", "seq"), "seq").alias("r")).select("word", "r.*")
+
+
+def word_list_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """(word, n_chars) of a list with a word a line."""
+    words = spark.read.text(path).select(_unquoted(F.regexp_extract("value", r"^-\s*(.+)$", 1)).alias("word"))
+    return words.where("word <> ''").distinct().withColumn("n_chars", F.length("word"))
+
+
 def word_list(df: DataFrame) -> DataFrame:
     """(word, n_chars) of recommended words."""
     return df.select(cell(df, "建議用字").alias("word")).where("word <> ''").distinct().withColumn("n_chars", F.length("word"))
@@ -220,10 +270,17 @@ def word_list(df: DataFrame) -> DataFrame:
 # --- frequency tables and lexicon files -----------------------------------------------------
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): files are read whole, so they must be of dictionary size."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n", -1)).alias("line_no", "value"))
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line_no, value): lines with their number from 0 in their file.
+
+    Files are read by ranges of bytes; lines are numbered within each range, and ranges are shifted by the lines of those before them.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    sizes = rows.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    # numbers rise by one within a task, and a range lies in one task
+    return rows.join(shifts, ["file", "_block"]).select("file", (F.col("_shift") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
 
 
 def frequencies(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -238,7 +295,7 @@ def lexicon(spark: SparkSession, path: str, bad_weight: int | None = 0) -> DataF
     """(hanlo, rime_key, weight, seq) behind a file's header, which ends with a line of three dots. A weight that is no number counts as bad_weight; None drops its row."""
     lines = numbered_lines(spark, path)
     head = lines.where("trim(value) = '...'").groupBy("file").agg(F.min("line_no").alias("_head"))
-    rows = lines.join(F.broadcast(head), "file").where("line_no > _head AND NOT startswith(value, '#')").withColumn("f", F.split("value", "\t", -1)).where("size(f) >= 3")
+    rows = lines.join(head, "file").where("line_no > _head AND NOT startswith(value, '#')").withColumn("f", F.split("value", "\t", -1)).where("size(f) >= 3")
     weight = F.coalesce(F.expr("try_cast(trim(f[2]) AS int)"), F.lit(bad_weight).cast("int"))
     return rows.select(F.get("f", F.lit(0)).alias("hanlo"), F.get("f", F.lit(1)).alias("rime_key"), weight.alias("weight"), F.struct("file", "line_no").alias("seq")).where("weight IS NOT NULL")
 
@@ -249,24 +306,15 @@ def gloss_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.get("f", F.lit(0)).alias("mandarin"), F.get("f", F.lit(1)).alias("kip"))
 
 
-def latest(folder: str, wanted: str) -> str | None:
-    """The newest snapshot folder (by name) that holds a file of that name."""
-    for name in sorted(os.listdir(folder), reverse=True):
-        path = os.path.join(folder, name, wanted)
-        if os.path.exists(path):
-            return path
-    return None
+def latest(spark: SparkSession, folder: str, wanted: str) -> str | None:
+    """The file of that name in the newest snapshot folder (by name) that holds one."""
+    return max(found(spark, folder, wanted), key=lambda x: x.split("/")[-2], default=None)
 
 
-def first_present(*paths: str) -> str | None:
-    return next((p for p in paths if os.path.exists(p)), None)
+def first_present(spark: SparkSession, *paths: str) -> str | None:
+    return next((x for x in paths if found(spark, x)), None)
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of fixed values."""
     return spark.createDataFrame(rows, schema)
-
-
-def numbered_by(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
-    """df with its place in an order, for small tables."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))

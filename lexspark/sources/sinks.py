@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def lexicon_lines(df: DataFrame) -> DataFrame:
-    """(value) lines of a lexicon: text, code, weight, ordered by code and falling weight."""
-    ordered = df.orderBy("rime_key", F.desc("weight"), "hanlo")
-    return ordered.select(F.concat_ws("\t", "hanlo", "rime_key", F.col("weight").cast("string")).alias("value"))
+def write_ordered(df: DataFrame, path: str, *order, head: list[str] | None = None, foot: list[str] | None = None) -> None:
+    """`value` lines in an order, between lines of a head and a foot: a folder of text parts that go on from one to the next. Lines are dealt by ranges, so no task holds them all."""
+    ends = [(0, i, x) for i, x in enumerate(head or [])] + [(2, i, x) for i, x in enumerate(foot or [])]
+    fixed = df.sparkSession.createDataFrame(ends, "_part int, _line int, value string")
+    lines = df.select(F.lit(1).alias("_part"), F.lit(0).alias("_line"), F.struct(*order).alias("_order"), "value")
+    whole = lines.unionByName(fixed.select("_part", "_line", F.lit(None).cast(lines.schema["_order"].dataType).alias("_order"), "value")) if ends else lines
+    whole.orderBy("_part", "_line", "_order").select("value").write.mode("overwrite").text(path)
 
 
 def write_lexicon(df: DataFrame, path: str, name: str, version: str) -> None:
-    """A folder of text: part 0 starts with the header, the others go on in order."""
-    header = f"# lexicon\n---\nname: {name}\nversion: \"{version}\"\nsort: by_weight\nuse_preset_vocabulary: false\n..."
-    head = df.sparkSession.createDataFrame([(header,)], "value string")
-    head.unionByName(lexicon_lines(df)).coalesce(1).write.mode("overwrite").text(path)
+    """Text, code and weight, ordered by code and falling weight; the first part starts with the header."""
+    head = ["# lexicon", "---", f"name: {name}", f'version: "{version}"', "sort: by_weight", "use_preset_vocabulary: false", "..."]
+    line = F.concat_ws("\t", "hanlo", "rime_key", F.col("weight").cast("string"))
+    write_ordered(df.withColumn("value", line), path, F.col("rime_key"), (-F.col("weight")).alias("w"), F.col("hanlo"), head=head)
 
 
 def write_frequencies(df: DataFrame, path: str) -> None:
@@ -25,9 +28,14 @@ def write_frequencies(df: DataFrame, path: str) -> None:
     df.orderBy(F.desc("cnt"), tie).select(F.concat_ws("\t", "word", F.col("cnt").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
 
+def sentence_line() -> Column:
+    """Tokens as a line."""
+    return F.array_join("tokens", " ")
+
+
 def write_sentences(df: DataFrame, path: str) -> None:
     """Token lists as lines; empty ones are dropped."""
-    df.where("size(tokens) > 0").select(F.array_join("tokens", " ").alias("value")).write.mode("overwrite").text(path)
+    df.where("size(tokens) > 0").select(sentence_line().alias("value")).write.mode("overwrite").text(path)
 
 
 def last_rules(df: DataFrame) -> DataFrame:
@@ -40,18 +48,19 @@ def write_rules(df: DataFrame, path: str) -> None:
     """Writing rules as YAML blocks."""
     q = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
     block = F.concat(q(F.col("word")), F.lit(":\n  type: "), F.col("type"), F.lit("\n  kip: "), q(F.col("kip")), F.lit("\n  hoabun: "), q(F.col("hoabun")))
-    last_rules(df).orderBy("seq").select(block.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    write_ordered(last_rules(df).withColumn("value", block), path, F.col("seq"))
 
 
 def write_words(df: DataFrame, path: str) -> None:
     """A word list as YAML."""
-    df.orderBy("word").select(F.concat(F.lit('- "'), "word", F.lit('"')).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    write_ordered(df.withColumn("value", F.concat(F.lit('- "'), "word", F.lit('"'))), path, F.col("word"))
 
 
 def write_rules_json(df: DataFrame, path: str) -> None:
-    """Light-tone rules as one JSON array a file (the table is small)."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "tl", "hanzi", "rule"))), lambda x: F.struct(x["tl"].alias("tl"), x["hanzi"].alias("hanzi"), x["rule"].alias("rule")))
-    df.agg(F.to_json(listed).alias("value")).write.mode("overwrite").text(path)
+    """Light-tone rules as one JSON array, a rule a line; all but the first line bring their comma."""
+    first = df.agg(F.min("seq")).scalar()
+    value = F.concat(F.when(F.col("seq") == first, F.lit("")).otherwise(F.lit(",")), F.to_json(F.struct("tl", "hanzi", "rule")))
+    write_ordered(df.withColumn("value", value), path, F.col("seq"), head=["["], foot=["]"])
 
 
 def vocabulary_reverse(df: DataFrame) -> DataFrame:
