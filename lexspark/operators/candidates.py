@@ -89,7 +89,8 @@ def rewritten(df: DataFrame, lo_words: list[str] | Column, mode: int = 0) -> Dat
 
     Modes 0 and 1 (other spelling) raise by the text's length; 2 and 3 by its syllables. lo_words: the words that rules write in Latin letters, as a list or an array column (lo_words_of).
     """
-    lo = lo_words if isinstance(lo_words, Column) else F.array(*map(F.lit, lo_words)) if lo_words else F.array().cast("array<string>")
+    lo = F.array(*map(F.lit, lo_words)) if isinstance(lo_words, list) and lo_words else F.array().cast("array<string>")
+    df, lo = df.withColumn("_lo", lo_words if isinstance(lo_words, Column) else lo), F.col("_lo")
     raw = _synced(F.col("text"), T.bracketed(F.coalesce("comment", F.lit(""))))
     df = df.withColumn("_raw", raw)
     text, has = _rewritten(F.col("text"), F.col("_raw"), lo)
@@ -104,7 +105,7 @@ def rewritten(df: DataFrame, lo_words: list[str] | Column, mode: int = 0) -> Dat
         n = F.length(F.replace(shown, F.lit("--"), F.lit("")))
         boost = F.when(F.col("_has"), F.lit(5.0)).otherwise(F.lit(0.0)) + F.when(n >= 4, F.lit(1.0)).when(n >= 2, F.lit(0.5)).otherwise(F.lit(0.0))
     comment = F.when(F.col("_raw") == "", F.col("comment")).otherwise(F.concat(F.lit(" ["), roman, F.lit("]")))
-    return df.withColumns({"text": F.when(F.col("_raw") == "", F.col("text")).otherwise(shown), "comment": comment, "quality": F.col("quality") + boost}).drop("_raw", "_text", "_has")
+    return df.withColumns({"text": F.when(F.col("_raw") == "", F.col("text")).otherwise(shown), "comment": comment, "quality": F.col("quality") + boost}).drop("_raw", "_text", "_has", "_lo")
 
 
 def with_both_spellings(df: DataFrame) -> DataFrame:

@@ -193,7 +193,7 @@ def test_core_filter(spark):
         assert got[1] == ("食飯", nfd(" [tsia̍h-pn̄g]"), 1.5)
         assert got[2] == (nfd("ê"), nfd(" [ê]"), 6.5)  # a mark is a character of its own
         assert got[3] == (nfd("我beh去"), nfd(" [guá-beh-khì]"), 7.0)
-        assert got[4] == ("plain", None, 1.5)
+        assert got[4] == ("plain", None, 2.0)
         assert got[5] == (nfd("轉--來"), nfd(" [tńg--lâi]"), 1.5)
     full = by(candidates.rewritten(df, ["ê", "欲"], 2))
     assert full[3][2] == 2.0 and full[1][2] == 1.5 and full[2][2] == 1.0 and full[4][2] == 1.0
