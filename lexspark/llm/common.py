@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where unset (tests, one machine) a temporary one is set."""
+    """The shared folder of spark.checkpoint.dir; where unset, on one machine, a temporary one is set. Raises ValueError on a cluster without one, whose executors have no folder in common."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lexspark-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)

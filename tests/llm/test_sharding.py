@@ -54,6 +54,24 @@ def test_query_contract(spark, small):
         slots[r.shard].append(r.slot)
         sums[r.shard] += r["size"]
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    groups = defaultdict(int)
+    for raw in ((t or "").encode() for t in docs.values()):
+        groups[raw] += len(raw) + 16
+    fair = sum(groups.values()) / 40
+    heavy = sum(v for v in groups.values() if v > fair)
+    # what isn't a group above its fair share is spread within a hundredth
+    rest = sorted(v for v in sums.values() if v <= max(fair * 1.01, 0))
+    assert len(rest) >= 40 - sum(v > fair for v in groups.values()) and sum(sums.values()) == sum(groups.values()) and heavy >= 0
+
+
+def test_shards_have_near_equal_bytes(spark):
+    """The law of the query, over a table without a heavy group."""
+    rows = sharding.query(spark, "/root/testdata/sf0.01").collect()
+    sums = defaultdict(int)
+    for r in rows:
+        assert r.law == "bytes"
+        sums[r.shard] += r["size"]
+    assert len(sums) == 40 and max(sums.values()) - min(sums.values()) < 0.002 * max(sums.values())
 
 
 def test_odd_and_empty(odd_docs, no_docs):
