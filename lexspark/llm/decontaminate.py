@@ -47,7 +47,7 @@ def held_values(prints: np.ndarray) -> np.ndarray:
 class Index:
     """Items' fingerprints by blocks of 16 bits: all within RADIUS of a fingerprint are found, as one of its blocks lies within RADIUS // BLOCKS bits.
 
-    Each block has its items sorted by its value; a fingerprint probes all values that near which some item has (`held`). Of items with other fingerprints one in six shares such a block, and only these are compared in full.
+    Each block has its items sorted by its value; a fingerprint probes all values that near which some item has (`held`). With fewer items than such values, the blocks themselves are held against each other, which finds the same. Of items with other fingerprints one in six shares such a block, and only these are compared in full.
     """
 
     def __init__(self, prints: np.ndarray, held: np.ndarray):
@@ -59,7 +59,13 @@ class Index:
     def within(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of wanted, item) of all pairs within RADIUS."""
         n, pairs = len(self.prints), []
-        for at in range(0, len(wanted), 256):
+        if n <= len(_NEAR):
+            own, step = np.ascontiguousarray(self.prints).view(np.uint16), max(1, (1 << 18) // (n * BLOCKS))
+            for at in range(0, len(wanted), step):
+                apart = np.bitwise_count(np.ascontiguousarray(wanted[at : at + step]).view(np.uint16)[:, None] ^ own)
+                rows, items = np.nonzero((apart <= RADIUS // BLOCKS).any(axis=2))
+                pairs.append((at + rows) * n + items)
+        for at in range(0, len(wanted) if n > len(_NEAR) else 0, 256):
             probes = np.ascontiguousarray(wanted[at : at + 256]).view(np.uint16)[:, :, None] ^ _NEAR
             for b in range(BLOCKS):
                 rows, which = np.nonzero(self.held[b][probes[:, b]])
@@ -144,15 +150,14 @@ class Benchmark:
             s, at, hits, last = found[k]
             m = n - k + 1  # shingles of a window
             size = min(m, len(s))
-            least = max(1, int(np.ceil(SIMILARITY * m)) - (m - size))
             low, high = max(0, int(at[0]) - size + 1), min(int(at[-1]), len(s) - size) + 1
             if size * 4 < m * 3 or low >= high:
                 continue
-            starts = low + np.flatnonzero(hits[low + size : high + size] - hits[low:high] >= least)
+            # the least overlap of two sets of these sizes that are similar enough
+            enough = int(np.ceil(SIMILARITY * (m + size) / (1 + SIMILARITY) - 1e-9))
+            starts = full = low + np.flatnonzero(hits[low + size : high + size] - hits[low:high] >= enough)
             if not len(starts):
                 continue
-            enough = int(np.ceil(SIMILARITY * (m + size) / (1 + SIMILARITY) - 1e-9))
-            full = starts[hits[starts + size] - hits[starts] >= enough]
             again = last[full + size - 1] >= full
             seen: set[bytes] = set()
             if not self.repeats[self.by_shape[(n, k)]].any():

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from lexspark.llm import decontaminate
 
@@ -39,9 +40,10 @@ def test_parts_of_a_large_benchmark(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, i).collect()} == {(1, 4), (2, 9)}
 
 
-def test_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("n", [80, 300, 1500])
+def test_index_finds_all_within_the_radius(n):
     rng = np.random.default_rng(0)
-    prints = rng.integers(0, 256, (300, decontaminate.BITS // 8), dtype=np.uint8)
+    prints = rng.integers(0, 256, (n, decontaminate.BITS // 8), dtype=np.uint8)
     wanted = np.concatenate([prints[:80] ^ np.packbits(rng.random((80, decontaminate.BITS)) < 0.23, axis=1), rng.integers(0, 256, (300, decontaminate.BITS // 8), dtype=np.uint8)])
     rows, items = decontaminate.Index(prints, decontaminate.held_values(prints)).within(wanted)
     apart = np.bitwise_count(wanted[:, None] ^ prints[None]).sum(axis=2)
