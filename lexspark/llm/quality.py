@@ -21,7 +21,7 @@ GAP = 48
 #: Labelled documents used for fitting at most, and bytes of their whole texts at most.
 SAMPLE, SAMPLE_BYTES = 2000, 8 << 20
 #: STEPS is the least number of batches.
-EPOCHS, STEPS, BATCH, RATE = 12, 400, 64, 0.01
+EPOCHS, STEPS, BATCH, RATE = 6, 400, 32, 0.01
 #: Places whose filter values are held at once in scoring.
 AT_ONCE = 1 << 17
 #: A document is good from this score on.
