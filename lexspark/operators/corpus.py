@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by a key where it comes in fewer parts than there are cores, such as a small file of one row group; larger tables stay as they lie, so nothing of them is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def token_rows(lines: DataFrame, column: str = "line", tokens=T.tokens) -> DataFrame:
     """(token): one row per token of a text column. Words are exploded first and chosen as plain columns, which compiles; a lambda over an array doesn't."""
     if tokens is not T.tokens:
@@ -39,12 +45,11 @@ def sentences(lines: DataFrame, column: str = "line", tokens=T.tokens, keep: tup
 def pair_counts(sentences_: DataFrame, tokens: str = "tokens", min_count: int = 1) -> DataFrame:
     """(w1, w2, cnt) of neighbouring tokens, tones dropped; a blank token parts its neighbours and pairs with none.
 
-    Each array is paired with itself, one place on, so nothing is shuffled but the counts; words are trimmed and tones dropped as plain columns.
+    Tones are dropped once a token, in a column of its own; each array is then paired with itself, one place on, so nothing is shuffled but the counts.
     """
-    t = sentences_.select(F.col(tokens).alias("t"))
+    t = sentences_.select(F.transform(F.col(tokens), lambda x: F.trim(T.strip_all_tones(x))).alias("t"))
     rows = t.select(F.explode(F.arrays_zip(F.expr("slice(t, 1, greatest(size(t) - 1, 0))").alias("w1"), F.expr("slice(t, 2, greatest(size(t) - 1, 0))").alias("w2"))).alias("p"))
-    bare = lambda c: F.trim(T.strip_all_tones(F.col(c)))
-    rows = rows.select(bare("p.w1").alias("w1"), bare("p.w2").alias("w2")).where("w1 <> '' AND w2 <> ''")
+    rows = rows.select("p.w1", "p.w2").where("w1 <> '' AND w2 <> ''")
     return rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= min_count)
 
 

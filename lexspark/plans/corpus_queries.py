@@ -18,6 +18,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark, sf_dir, name="documents", key="doc_id"):
+    """A table's keys and texts, over all cores."""
+    return corpus.spread(table(spark, sf_dir, name).select(key, "text"), key)
+
+
 def _stripped(source: str, column: str = "text") -> str:
     return f"SELECT regexp_replace(w, '^[^a-zA-Z]+|[^a-zA-Z0-9-]+$', '', 'g') AS token FROM (SELECT unnest(regexp_split_to_array({column}, '{SPACE}')) AS w FROM {source})"
 
@@ -27,13 +32,13 @@ _KEPT = "regexp_matches(token, '[1-9]') OR lower(token) IN ('a','e','i','o','u',
 
 @register("token_freq", f"SELECT token AS word, count(*) AS cnt FROM ({_stripped('documents')}) WHERE {_KEPT} GROUP BY token")
 def token_freq(spark, sf_dir):
-    return corpus.token_counts(table(spark, sf_dir, "documents"), "text")
+    return corpus.token_counts(texts(spark, sf_dir), "text")
 
 
 @register("token_freq_all", f"SELECT token AS word, count(*) AS cnt FROM ({_stripped('documents')}) WHERE token <> '' GROUP BY token ORDER BY cnt DESC, word")
 def token_freq_all(spark, sf_dir):
     """All words by falling count."""
-    counts = corpus.token_counts(table(spark, sf_dir, "documents"), "text", T.edge_stripped)
+    counts = corpus.token_counts(texts(spark, sf_dir), "text", T.edge_stripped)
     return counts.orderBy(F.desc("cnt"), "word")
 
 
@@ -44,7 +49,7 @@ b AS (SELECT token AS word, count(*) AS cnt FROM ({_stripped('conversations')})
 SELECT word, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY word""",
 )
 def freq_merge(spark, sf_dir):
-    tables = [corpus.token_counts(table(spark, sf_dir, n), "text", T.edge_stripped) for n in ("documents", "conversations")]
+    tables = [corpus.token_counts(texts(spark, sf_dir, *n), "text", T.edge_stripped) for n in ((), ("conversations", "conv_id"))]
     return corpus.merged_counts(*tables)
 
 
@@ -54,7 +59,7 @@ def freq_merge(spark, sf_dir):
 FROM ({_stripped('documents')}) WHERE token <> '' GROUP BY token""",
 )
 def freq_log_weight(spark, sf_dir):
-    counts = corpus.token_counts(table(spark, sf_dir, "documents"), "text", T.edge_stripped)
+    counts = corpus.token_counts(texts(spark, sf_dir), "text", T.edge_stripped)
     return counts.withColumn("weight", T.entry_weight(F.lit(800), F.lit(1.2), F.lit(1), F.col("cnt")))
 
 
@@ -63,7 +68,7 @@ def freq_log_weight(spark, sf_dir):
     f"SELECT count(*) AS unique_words, coalesce(sum(cnt), 0)::BIGINT AS total_tokens FROM (SELECT token, count(*) AS cnt FROM ({_stripped('documents')}) WHERE token <> '' GROUP BY token)",
 )
 def freq_summary(spark, sf_dir):
-    return corpus.summary(corpus.token_counts(table(spark, sf_dir, "documents"), "text", T.edge_stripped))
+    return corpus.summary(corpus.token_counts(texts(spark, sf_dir), "text", T.edge_stripped))
 
 
 @register(
@@ -73,7 +78,7 @@ t AS (SELECT doc_id, n, list_filter(list_transform(w, lambda x: regexp_replace(x
 SELECT doc_id, n::INTEGER AS line_no, array_to_string(tokens, ' ') AS sentence, len(tokens)::INTEGER AS n_tokens FROM t WHERE len(tokens) > 0""",
 )
 def sentence_tokens(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     rows = corpus.sentences(lines, "line", T.edge_stripped, ("doc_id", "line_no"))
     return rows.select("doc_id", "line_no", sentence_line().alias("sentence"), F.size("tokens").alias("n_tokens"))
 
@@ -86,7 +91,7 @@ SELECT p[1] AS w1, p[2] AS w2, count(*) AS cnt FROM r WHERE p[1] <> '' AND p[2]
 @register("bigram_count", _PAIRS.replace("GROUP BY ALL", "GROUP BY ALL HAVING count(*) >= 5"))
 def bigram_count(spark, sf_dir):
     """A blank word parts its neighbours: it isn't bridged."""
-    rows = table(spark, sf_dir, "documents").select(T.slots(F.col("text")).alias("tokens"))
+    rows = texts(spark, sf_dir).select(T.slots(F.col("text")).alias("tokens"))
     return corpus.pair_counts(rows, min_count=5)
 
 
@@ -100,7 +105,7 @@ FROM pairs JOIN best a ON a.k = replace(w1, '-', ' ') JOIN best b ON b.k = repla
 )
 def phrase_entries(spark, sf_dir):
     """Pairs of documents' words, with the documents' own words as lexicon."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     pairs = corpus.pair_counts(docs.select(T.slots(F.col("text")).alias("tokens")), min_count=5)
     lex = corpus.token_counts(docs, "text", T.edge_stripped).select(F.concat(F.lit("字"), F.lower("word")).alias("hanlo"), F.col("word").alias("rime_key"), F.col("cnt").alias("weight"), F.col("word").alias("seq"))
     return phrases.phrase_entries(pairs, lex, match="toneless")
@@ -113,7 +118,7 @@ r AS (SELECT word, cnt, CASE WHEN cnt % 3 = 0 THEN NULL ELSE 200 + cnt % 900 END
 SELECT word, cnt, (CASE WHEN plain IS NULL THEN raw ELSE greatest(300, least(raw, plain - 100)) END)::BIGINT AS weight FROM r""",
 )
 def lighttone_weight(spark, sf_dir):
-    counts = corpus.token_counts(table(spark, sf_dir, "documents"), "text", T.edge_stripped)
+    counts = corpus.token_counts(texts(spark, sf_dir), "text", T.edge_stripped)
     plain = F.when(F.col("cnt") % 3 == 0, F.lit(None).cast("long")).otherwise(200 + F.col("cnt") % 900)
     return counts.select("word", "cnt", T.light_tone_weight(F.col("cnt"), plain).cast("long").alias("weight"))
 
