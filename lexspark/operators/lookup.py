@@ -9,10 +9,12 @@ from lexspark.functions import text as T
 
 # Initials (the first is empty) and finals of syllables, in the order in which a wildcard is spelled out.
 INITIALS = ("", "p", "ph", "b", "m", "t", "th", "n", "l", "k", "kh", "g", "ng", "ts", "tsh", "s", "j", "h")
-FINALS = tuple(
-    "a e i o oo u ah eh ih oh ooh uh ak ek ik ok ap ip op at it ut am im om an in un ang eng ing ong ai aih au auh ia iah iak iam ian iang iap iat iau iauh io ioh iok iong iu iuh "
-    "ua uah uai uaih uak uan uang uat ue ueh ui uih ann enn inn onn ainn aunn iann ionn iunn iaunn uann uainn uinn ainnh annh aunnh ennh innh onnh unnh iannh iaunnh iunnh uainnh uinnh "
-    "er erh ere ir irh irn ioo m mh ng ngh nng".split()
+FINALS = (
+    "a", "e", "i", "o", "oo", "u", "ah", "eh", "ih", "oh", "ooh", "uh", "ak", "ek", "ik", "ok", "ap", "ip", "op", "at", "it", "ut", "am", "im", "om",
+    "an", "in", "un", "ang", "eng", "ing", "ong", "ai", "aih", "au", "auh", "ia", "iah", "iak", "iam", "ian", "iang", "iap", "iat", "iau", "iauh", "io",
+    "ioh", "iok", "iong", "iu", "iuh", "ua", "uah", "uai", "uaih", "uak", "uan", "uang", "uat", "ue", "ueh", "ui", "uih", "ann", "enn", "inn", "onn",
+    "ainn", "aunn", "iann", "ionn", "iunn", "iaunn", "uann", "uainn", "uinn", "ainnh", "annh", "aunnh", "ennh", "innh", "onnh", "unnh", "iannh",
+    "iaunnh", "iunnh", "uainnh", "uinnh", "er", "erh", "ere", "ir", "irh", "irn", "ioo", "m", "mh", "ng", "ngh", "nng",
 )
 # Texts and comments of the help, the abbreviations and the symbols, in order.
 HELP = (
