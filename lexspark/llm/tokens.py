@@ -235,9 +235,9 @@ def read_tokens(spark, path: str, columns: tuple[str, ...] = ("doc_id", "ids"))
     return spark.read.parquet(path).select(*columns)
 
 
-def starts(spark, path: str, span: int = 1 << 16) -> DataFrame:
+def starts(spark, path: str) -> DataFrame:
     """(doc_id, start): the ids of all documents before each, from the lengths alone; one row for each row of the files."""
-    return with_starts(placed(read_tokens(spark, path, ("doc_id", "n_tokens", "_metadata"))), span).select("doc_id", "start")
+    return with_starts(placed(read_tokens(spark, path, ("doc_id", "n_tokens", "_metadata")))).select("doc_id", "start")
 
 
 def placed(tokens: DataFrame) -> DataFrame:
@@ -245,19 +245,16 @@ def placed(tokens: DataFrame) -> DataFrame:
     return tokens.withColumns({"_file": F.col("_metadata.file_name"), "_at": F.col("_metadata.row_index")}).drop("_metadata")
 
 
-def with_starts(rows: DataFrame, span: int = 1 << 16) -> DataFrame:
-    """Placed rows with `start`, the ids of all rows before each: rows without doc_id are first, and rows that share a doc_id (or have none) follow each other as they lie in the files. No row is lost or told twice.
+def with_starts(rows: DataFrame) -> DataFrame:
+    """Placed rows with `start`, the ids of all rows before each in the files' order: rows without doc_id are first, and rows that share a doc_id (or have none) follow each other. No row is lost or told twice.
 
-    doc_ids are summed in blocks of `span` neighbouring ids, the blocks' sums are cumulated by two levels, and each block is cumulated by itself.
+    Files hold ranges of doc_ids in the order of their part numbers; each is cumulated by itself and shifted by those before it, of which there is a row a file.
     """
-    lengths = rows.withColumn("_block", F.coalesce(F.floor(F.col("doc_id") / span), F.lit(-(1 << 63)).cast("long")))  # null: below all others
-    sums = lengths.groupBy("_block").agg(F.sum("n_tokens").alias("_n")).withColumn("_top", F.floor(F.col("_block") / span))
-    tops = sums.groupBy("_top").agg(F.sum("_n").alias("_m"))
+    part = F.regexp_extract("_file", r"part-(\d+)", 1).cast("long")
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("_top", F.coalesce(F.sum("_m").over(earlier(Window.orderBy("_top"))), F.lit(0)).alias("_above"))  # one row for 2^32 doc_ids
-    sums = sums.join(tops, "_top").select("_block", (F.col("_above") + F.coalesce(F.sum("_n").over(earlier(Window.partitionBy("_top").orderBy("_block"))), F.lit(0))).alias("_before"))
-    inner = F.coalesce(F.sum("n_tokens").over(earlier(Window.partitionBy("_block").orderBy("doc_id", "_file", "_at"))), F.lit(0))
-    return lengths.withColumn("_in", inner).join(sums, "_block").withColumn("start", F.col("_before") + F.col("_in")).drop("_block", "_before", "_in")
+    shifts = rows.groupBy("_file").agg(F.sum("n_tokens").alias("_n")).select("_file", F.coalesce(F.sum("_n").over(earlier(Window.orderBy(part, "_file"))), F.lit(0)).alias("_before"))
+    inner = F.coalesce(F.sum("n_tokens").over(earlier(Window.partitionBy("_file").orderBy("_at"))), F.lit(0))
+    return rows.withColumn("_in", inner).join(shifts, "_file").withColumn("start", F.col("_before") + F.col("_in")).drop("_before", "_in")
 
 
 def ids_crc32(tokens: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def test_files_round_trip(spark, odd_docs, no_docs, tmp_path, encoding):
         want[r.doc_id] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     crcs = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.ids_crc32(tokens.read_tokens(spark, f"file://{tmp_path}/t")).collect()}
-    starts = {r.doc_id: r.start for r in tokens.starts(spark, f"file://{tmp_path}/t", span=2).collect()}
+    starts = {r.doc_id: r.start for r in tokens.starts(spark, f"file://{tmp_path}/t").collect()}
     assert {d: (starts[d], *crcs[d]) for d in crcs} == want
     files = sorted(str(p) for p in (tmp_path / "t").glob("*.parquet"))
     used = {e for f in files if pq.read_metadata(f).num_row_groups for i in range(2) for e in pq.read_metadata(f).row_group(0).column(i).encodings}
