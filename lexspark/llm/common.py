@@ -57,7 +57,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], salt: Column, name:
 
 # --- words and shingles of whole texts, as 64-bit hashes -------------------------------------
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: A-Z as a-z, for bytes.translate.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -94,7 +95,7 @@ def piece_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def word_hashes(text: bytes) -> np.ndarray:
     """One hash a word of the text, in order: A-Z lowered, words are runs without U+0020 and U+0009-U+000D."""
-    raw = np.frombuffer(text.translate(_LOWER), np.uint8)
+    raw = np.frombuffer(text.translate(LOWER), np.uint8)
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64)

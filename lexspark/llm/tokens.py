@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, piece_hashes, scratch, utf8
+from .common import LOWER, cut, piece_hashes, scratch, utf8
 
 #: Bytes of texts that are encoded at a time, at least.
 TOGETHER = 1 << 18
@@ -71,6 +71,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.blank = bool(self._ids([" \n "])[0])  # whether white space has ids
+        capital, small = self._ids(["A Bc"]), self._ids(["a bc"])
+        self.lower = capital == small  # whether it lowers letters itself, so words may be lowered before
         self._forget()
         self.by_words = True
         self.by_words = list(self.encode_all([t.encode() for t in _PROBES])) == [array("I", x).tobytes() for x in self._ids(list(_PROBES))]
@@ -119,6 +121,8 @@ class Encoder:
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of plain texts."""
         joined = b"\0".join([b"", *texts, b""])
+        if self.lower:
+            joined = joined.translate(LOWER)
         raw = np.frombuffer(joined, np.uint8)
         kind = _CLASS[raw]
         edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
