@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -63,11 +64,10 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import os
-
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.key = int.from_bytes(os.urandom(8), "little")  # no text can be made so that two of its words share a hash
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.blank = bool(self._ids([" \n "])[0])  # whether white space has ids
@@ -143,7 +143,7 @@ class Encoder:
         start, end = np.concatenate(starts), np.concatenate(ends)
         order = np.argsort(start, kind="stable")
         start, end = start[order], end[order]
-        hashes = piece_hashes(raw, start, end)
+        hashes = piece_hashes(raw, start, end, self.key)
         slot = (hashes & np.uint64(PLACES - 1)).astype(np.int64)
         at, count = self.at[slot], self.count[slot]
         new = np.flatnonzero(self.keys[slot] != hashes)

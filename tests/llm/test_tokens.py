@@ -29,6 +29,16 @@ def test_ids_are_those_of_whole_texts(spark, small, name, monkeypatch):
         assert list(encoder.encode_all([t.encode() for t in texts])) == want
 
 
+def test_words_that_collide_under_sums_of_powers_keep_their_ids():
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder, whole = tokens.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        for t in (one, one.translate(str.maketrans("ab", "ba"))):
+            assert encoder.encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_random_texts_have_the_ids_of_whole_texts():
     """White space of all kinds, contractions, marks that join with letters, and special tokens' strings in any order."""
     rng = np.random.default_rng(1)
