@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, media, neardup, packing, quality, secrets, sharding, tokens, warc
+from . import clusters, decontaminate, html, media, neardup, packing, quality, secrets, sharding, tokens, warc
 
 OP7 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
@@ -29,9 +29,10 @@ def queries() -> dict:
         "op8_setsketch_neardup": neardup.query,
         "op9_byte_cnn_quality": quality.query,
         "op10_secret_spans": secrets.query,
+        "op11_mean_variance_clusters": clusters.query,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op7_warc_chain": OP7}
+    return {"op7_warc_chain": OP7, "op11_mean_variance_clusters": clusters.oracle()}
