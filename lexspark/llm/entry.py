@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clusters, conversations, decontaminate, html, media, neardup, packing, quality, secrets, sharding, tokens, warc
+from . import clusters, conversations, decontaminate, html, media, neardup, packing, quality, rules, secrets, sharding, tokens, warc
 
 OP7 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
@@ -30,6 +30,7 @@ def queries() -> dict:
         "op9_byte_cnn_quality": quality.query,
         "op10_secret_spans": secrets.query,
         "op11_mean_variance_clusters": clusters.query,
+        "op12_line_field": rules.query,
         "op13_target_alignment": conversations.query,
         "pipeline": _pipeline,
     }

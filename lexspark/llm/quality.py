@@ -191,24 +191,28 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """A network from whole texts of labelled documents that aren't held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, size: int) -> list[tuple[int, bytes, int]]:
+    """(doc_id, text, quality) of labelled documents that aren't held out: the bounded part of the corpus that the driver gathers for fitting.
 
-    Documents are taken by the least hash of their id, at most SAMPLE and as many as SAMPLE_BYTES hold: the bound of what the driver gathers. Rows without label or text are left out; of texts that share an id the least counts, of its labels the least.
+    Documents are taken by the least hash of their id, at most `rows`, and as many whole texts as `size` bytes hold; a text that doesn't fit is passed over. Rows without label or text are left out; of texts that share an id the least counts, of its labels the least.
     """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") > 0)
     sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "quality", F.octet_length("text").alias("size"))
     taken, total = [], 0
     for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
-        if total + r.size > SAMPLE_BYTES and taken:
-            break
-        taken.append((r.doc_id, r.quality))
-        total += r.size
+        if total + r.size <= size:
+            taken.append((r.doc_id, r.quality))
+            total += r.size
     few = docs.sparkSession.createDataFrame(taken, "doc_id long, quality int")
-    rows = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
-    rows = sorted((r.doc_id, r.text.encode(), r.quality) for r in rows)
+    found = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    return sorted((r.doc_id, r.text.encode(), r.quality) for r in found)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Network:
+    """A network from whole texts of at most SAMPLE labelled documents and SAMPLE_BYTES."""
+    rows = labelled_sample(docs, labels, SAMPLE, SAMPLE_BYTES)
     return fitted([r[1] for r in rows], [r[2] for r in rows])
 
 
