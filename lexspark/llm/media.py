@@ -19,6 +19,8 @@ from .common import scratch, utf8
 
 #: Samples in a row of a frame, rows in a frame at most, frames a second.
 WIDTH, ROWS, FPS = 64, 64, 25
+#: Samples of a frame that are decoded at most; files with larger frames get a status.
+MOST_SAMPLES = 1 << 26
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ def encode_avi(payload: bytes) -> bytes:
 def parse_avi(media: bytes) -> tuple[list[bytes], int, float]:
     """The frames' bytes by the RIFF index, the payload's length (all samples if the file doesn't say) and the frames a second. Places in the index count from the movi list, or from the file's start.
 
-    Raises ValueError for what isn't an AVI with an index.
+    Chunks end with the list that holds them and with the file. What stands behind the last whole entry of an index is left. Raises ValueError for what isn't an AVI with an index, and for an index whose frames are together longer than the file.
     """
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
@@ -99,7 +101,7 @@ def parse_avi(media: bytes) -> tuple[list[bytes], int, float]:
     while spans:
         at, end = spans.pop()
         while at + 8 <= end:
-            name, size = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
+            name, size = media[at : at + 4], min(int.from_bytes(media[at + 4 : at + 8], "little"), end - at - 8)
             if name == b"LIST":
                 if media[at + 8 : at + 12] == b"movi":
                     movi = at + 8
@@ -114,14 +116,15 @@ def parse_avi(media: bytes) -> tuple[list[bytes], int, float]:
             at += 8 + size + (size & 1)
     if movi is None or not index:
         raise ValueError("an AVI without frames or index")
-    frames = []
-    if len(index) % 16:
-        raise ValueError("an index cut short")
-    for name, _, at, size in struct.iter_unpack("<4sIII", index):
+    frames, total = [], 0
+    for name, _, at, size in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]):
         if name[2:] in (b"dc", b"db"):
             start = movi + at if media[movi + at : movi + at + 4] == name else at
             if media[start : start + 4] != name or start + 8 + size > len(media):
                 raise ValueError("the index points beside a frame")
+            total += size
+            if total > len(media):
+                raise ValueError("an index of more than the file holds")
             frames.append(media[start + 8 : start + 8 + size])
     return frames, length, fps
 
@@ -165,6 +168,8 @@ class _Bits:
         if not table[0][ahead]:
             raise ValueError("bits that are no code")
         self.at += int(table[0][ahead])
+        if self.at > self.end:
+            raise ValueError("a frame cut short")
         return int(table[1][ahead])
 
     def value(self, size: int) -> int:
@@ -213,6 +218,8 @@ def _segments(frame: bytes) -> dict:
     end = frame.rfind(b"\xff\xd9")
     if end < at or "process" not in out or out["bits"] != 8 or not out["height"] or not out["width"]:
         raise ValueError("a frame without an end, a process or 8-bit samples")
+    if out["height"] * out["width"] > MOST_SAMPLES:
+        raise ValueError("a frame of too many samples")
     out["raw"] = frame[at:end]
     return out
 
@@ -253,11 +260,13 @@ def _baseline(seen: dict) -> np.ndarray:
     """Samples of the first part (brightness) of a baseline frame."""
     wide, high = max(p[1] for p in seen["parts"]), max(p[2] for p in seen["parts"])
     across, down = -(-seen["width"] // (8 * wide)), -(-seen["height"] // (8 * high))
+    sizes = [p[1:3] for p in seen["parts"]]
+    if len(sizes) == 1:  # a part by itself isn't interleaved: its blocks come row by row
+        across, down, sizes = -(-seen["width"] // 8), -(-seen["height"] // 8), [(1, 1)]
+    if across * down * sum(h * v for h, v in sizes) > 4 * len(seen["raw"]):  # a block takes two bits at least
+        raise ValueError("a frame cut short")
     tables = {k: _huffman(*v) for k, v in seen["huffman"].items()}
-    parts = [(h, v, tables[seen["scan"][name] >> 4], tables[16 + (seen["scan"][name] & 15)], np.zeros((down * v, across * h, 64), np.int64)) for name, h, v, _ in seen["parts"]]
-    if len(parts) == 1:  # a part by itself isn't interleaved: its blocks come row by row
-        across, down = -(-seen["width"] // 8), -(-seen["height"] // 8)
-        parts = [(1, 1, *parts[0][2:4], np.zeros((down, across, 64), np.int64))]
+    parts = [(h, v, tables[seen["scan"][p[0]] >> 4], tables[16 + (seen["scan"][p[0]] & 15)], np.zeros((down * v, across * h, 64), np.int16)) for (h, v), p in zip(sizes, seen["parts"], strict=True)]
     units = across * down
     step = seen["interval"] or units
     intervals = _intervals(seen["raw"])
@@ -270,6 +279,8 @@ def _baseline(seen: dict) -> np.ndarray:
             for k in range(h * v):
                 block = blocks[unit // across * v + k // h, unit % across * h + k % h]
                 last[i] += bits.value(bits.symbol(dc))
+                if abs(last[i]) > 32767:
+                    raise ValueError("coefficients beyond 16 bits")
                 block[0] = last[i]
                 at = 1
                 while at < 64:
@@ -284,19 +295,21 @@ def _baseline(seen: dict) -> np.ndarray:
                         raise ValueError("coefficients beyond a block")
                     block[at] = bits.value(run & 15)
                     at += 1
-    blocks = parts[0][4] * seen["quantum"][seen["parts"][0][3]]
-    square = np.zeros(blocks.shape, float)
-    square[..., _ZIGZAG] = blocks
-    samples = np.einsum("ux,rcuv,vy->rxcy", _COSINES, square.reshape(*blocks.shape[:2], 8, 8), _COSINES)
-    whole = np.clip(np.round(samples + 128), 0, 255).astype(np.uint8).reshape(blocks.shape[0] * 8, blocks.shape[1] * 8)
+    blocks, quantum = parts[0][4], seen["quantum"][seen["parts"][0][3]]
+    whole = np.zeros((8 * blocks.shape[0], 8 * blocks.shape[1]), np.uint8)
+    for r, row in enumerate(blocks):  # a row of blocks at a time bounds the memory
+        square = np.zeros(row.shape, float)
+        square[:, _ZIGZAG] = row * quantum
+        samples = np.einsum("ux,cuv,vy->xcy", _COSINES, square.reshape(-1, 8, 8), _COSINES)
+        whole[8 * r : 8 * r + 8] = np.clip(np.round(samples + 128), 0, 255).reshape(8, -1)
     name, h, v, _ = seen["parts"][0]
     return whole[: -(-seen["height"] * v // high), : -(-seen["width"] * h // wide)]
 
 
 def decode_frame(frame: bytes) -> np.ndarray:
     """The samples of one intra frame as an array of rows, of its first part if it has several: lossless frames with any table and predictor, and baseline ones with tables of their own. Raises ValueError for what isn't such a frame."""
-    seen = _segments(frame)
     try:
+        seen = _segments(frame)
         if seen["process"] == 0xC3 and seen["tables"] == _DHT and seen["predictor"] == 1 and len(seen["parts"]) == 1 and not seen["interval"]:
             raw = np.frombuffer(seen["raw"].replace(b"\xff\0", b"\xff"), np.uint8)
             n = seen["height"] * seen["width"]
@@ -311,6 +324,8 @@ def decode_frame(frame: bytes) -> np.ndarray:
             return _baseline(seen)
     except (KeyError, IndexError) as e:
         raise ValueError("a frame without a table that it names") from e
+    except (struct.error, ZeroDivisionError) as e:
+        raise ValueError("a frame with damaged sizes") from e
     raise ValueError("a frame of another process")
 
 

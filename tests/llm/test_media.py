@@ -1,7 +1,9 @@
 import hashlib
 import math
 import struct
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -153,3 +155,59 @@ def test_digests_and_clips(odd_docs, no_docs):
     clips = media.clip_rows(column).where("doc_id = 5").orderBy("clip").collect()
     assert clips[0].start_s == 0 and all(a.end_s == b.start_s for a, b in zip(clips, clips[1:], strict=False))
     assert media.decoded(media.stored(no_docs)).collect() == [] and media.clip_rows(media.media_column(no_docs)).collect() == []
+
+
+def test_damaged_files_are_read_or_refused_in_no_time(mutations=2500):
+    """Random damage of one or two bytes, cuts and doublings: each file is read or raises ValueError within a second."""
+    rng = np.random.default_rng(5)
+    files = [media.encode_avi(media.padded(t)) for t in (b"", b"some text " * 40, bytes(rng.integers(0, 256, 6000, np.uint8)))]
+    kinds = Counter()
+    for _ in range(mutations):
+        f = bytearray(files[rng.integers(len(files))])
+        how = rng.integers(4)
+        head = min(len(f), 400) if rng.random() < 0.7 else len(f)
+        for _ in range(rng.integers(1, 3)):
+            f[rng.integers(head)] = rng.choice([0, 1, 0x7F, 0x80, 0xFF, rng.integers(256)])
+        if how == 0:
+            f = f[: rng.integers(len(f))]
+        elif how == 1:
+            at = rng.integers(len(f))
+            f[at:at] = f[at : at + rng.integers(1, 64)]
+        began = time.process_time()
+        try:
+            media.read_media(bytes(f))
+            kinds["ok"] += 1
+        except ValueError:
+            kinds["refused"] += 1
+        assert time.process_time() - began < 1
+    assert min(kinds.values()) > mutations // 20
+
+
+def test_a_list_beyond_the_file_and_frames_beyond_their_bits():
+    whole = media.encode_avi(media.padded(b"abc" * 50))
+    for at in range(12, 60):
+        for value in (0, 0x7F, 0xFF):
+            try:
+                media.read_media(whole[:at] + bytes([value]) + whole[at + 1 :])
+            except ValueError:
+                pass
+    start = whole.index(b"\xff\xc3")
+    huge = whole[: start + 5] + b"\xff\xff\xff\xff" + whole[start + 9 :]
+    with pytest.raises(ValueError, match="too many samples"):
+        media.read_media(huge)
+    short = whole[:start] + b"\xff\xc3\x00\x02" + whole[start + 4 :]
+    with pytest.raises(ValueError):
+        media.read_media(short)
+
+
+def test_an_index_cut_within_an_entry_keeps_the_frames_before():
+    payload = media.padded(b"line of text\n" * 900)
+    whole = media.encode_avi(payload)
+    at = whole.index(b"idx1")
+    cut = whole[: at + 8 + 16 + 5]
+    got = media.read_media(cut)
+    assert got["frames"] == 1 and payload.startswith(got["payload"][:64])
+    doubled = whole[: at + 4] + (16 * 40).to_bytes(4, "little") + whole[at + 8 : at + 24] * 40
+    doubled = doubled[:4] + (len(doubled) - 8).to_bytes(4, "little") + doubled[8:]
+    with pytest.raises(ValueError, match="more than the file holds"):
+        media.read_media(doubled)
