@@ -6,9 +6,11 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ _WORDS = """account address admin archive article author backup banner batch bil
 _HEX_WORDS = "abba accede added babe baded beef cab cafe dad dead deaf decade deed face facade faced fad fade feed".split()
 #: Tokens in the sample of each style and length by which the battery is calibrated.
 _SAMPLE = 1500
+#: Longer tokens are tested as blocks of this length, AT_ONCE of them at a time.
+_BLOCK, _AT_ONCE = 256, 256
 
 
 def _styles(rng: random.Random, alphabet: str) -> list[Callable[[], str]]:
@@ -152,9 +156,9 @@ class Battery:
     def p_value(self, token: str) -> float:
         """How likely ordinary writing of that length lies as near to randomness, by the style for which it is likeliest.
 
-        Each style's distances are calibrated on a sample; below it, by a normal tail through the sample's mean and its thousandth, widened by 15 %, so small p-values are carried on and not counted.
+        Each style's distances are calibrated on a sample; below it, by a normal tail through the sample's mean and its thousandth, widened by 15 %, so small p-values are carried on and not counted. Of a token of more than _BLOCK characters all blocks are tested (the last may overlap the one before) and their mean distance is held against that of single blocks, as if the others told nothing more: so its p-value is too large rather than too small, and its cost linear in its length.
         """
-        n = len(token)
+        n = min(len(token), _BLOCK)
         step = 1 << max(0, n.bit_length() - 4)  # an eighth to a sixteenth of the length
         length = n // step * step
         if length not in self.null:
@@ -163,7 +167,12 @@ class Battery:
                 d = self.distance(self._written(style, length, max(200, min(_SAMPLE, 1_000_000 // length))))
                 spread = max(float(d.std()), float(d.mean() - np.quantile(d, 0.001)) / 3.09, 1e-6)
                 self.null[length].append((float(d.mean()), 1.15 * spread))
-        d = float(self.distance(self.place[np.frombuffer(token.encode(), np.uint8)][None, :])[0])
+        at = self.place[np.frombuffer(token.encode(), np.uint8)]
+        starts = [*range(0, len(at) - n, n), len(at) - n]
+        total = 0.0
+        for k in range(0, len(starts), _AT_ONCE):
+            total += float(self.distance(np.stack([at[x : x + n] for x in starts[k : k + _AT_ONCE]])).sum())
+        d = total / len(starts)
         return max(0.5 * math.erfc(-(d - mean) / (sd * math.sqrt(2))) for mean, sd in self.null[length])
 
 
@@ -200,10 +209,13 @@ def _candidates(token: str) -> set[tuple[int, int]]:
 def tested(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
     """(start, end, p-value over weight) of every tested token that no base span overlaps. A token's weight is its length: its share of the errors allowed, as long tokens decide more surely."""
     out = []
+    starts = [a for a, _, _ in base]  # sorted
+    reach = list(accumulate((b for _, _, b in base), max))  # how far the spans up to each go
     for m in _TOKEN.finditer(text):
         for s, e in sorted(_candidates(m.group())):
             s, e = m.start() + s, m.start() + e
-            if not any(a < e and s < b for a, _, b in base) and (got := randomness(text[s:e])):
+            before = bisect_left(starts, e)
+            if not (before and reach[before - 1] > s) and (got := randomness(text[s:e])):
                 out.append((s, e, got[1] / (e - s)))
     return out
 

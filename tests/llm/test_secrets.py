@@ -3,6 +3,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -180,3 +182,30 @@ def test_scan_and_mask(odd_docs, no_docs, spark):
             assert not brute(r.text) and r.n_chars == len(r.text)
             assert r.text == TEXTS[r.doc_id] or brute(TEXTS[r.doc_id])
     assert secrets.mask_secrets(odd_docs).exceptAll(odd_docs).count() == 0
+
+
+def test_long_tokens_and_many_spans_cost_in_proportion():
+    """A megabyte of base64 in one token, and ten thousand fixed spans beside tokens: linear time, bounded memory."""
+    token = base64.b64encode(random.Random(1).randbytes(750_000)).decode()
+    secrets.randomness(token[:400])  # calibrates
+    tracemalloc.start()
+    began = time.process_time()
+    name, p = secrets.randomness(token)
+    took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert name == "base64" and p < 1e-6 and took < 3 and peak < 100e6
+    name, p = secrets.randomness("snakeCaseNames/of/things/" * 40_000)
+    assert p > 1e-3
+    text = " ".join(f"password = secret{i:06d} {token[i : i + 24]}A1a" for i in range(0, 20000, 2))
+    began = time.process_time()
+    base = secrets.base_spans(text)
+    secrets.tested(text, base)
+    assert len(base) >= 10_000 and time.process_time() - began < 30
+
+
+def test_tokens_that_base_spans_touch_are_left():
+    base = sorted([(0, 0, 50), (10, 2, 30), (60, 2, 90)])
+    text = "x" * 45 + "aB3dE6gH9kL2nP5rS8uV1xY4" + "." * 30 + " aB3dE6gH9kL2nP5rS8uV1xY4"
+    got = [(s, e) for s, e, _ in secrets.tested(text, base)]
+    want = [(s, e) for s, e, _ in secrets.tested(text, []) if not any(a < e and s < b for a, _, b in base)]
+    assert got == want
