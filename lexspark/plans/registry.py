@@ -19,7 +19,7 @@ def register(name: str, sql: str | None):
 
 
 def queries() -> dict:
-    from . import corpus_queries, lexicon_queries, string_queries  # noqa: F401  they register their queries
+    from . import corpus_queries, lexicon_queries, source_queries, string_queries  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 

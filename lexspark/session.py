@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "lexspark", **conf: str) -> SparkSession:
@@ -18,3 +21,21 @@ def local_session(cpus: int | str = "*", app: str = "lexspark", **conf: str) ->
         "spark.driver.memory": os.environ.get("LEXSPARK_DRIVER_MEMORY", "8g"),
     } | conf
     return SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=settings).getOrCreate()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir; where unset, on one machine, below a temporary folder. Raises ValueError on a cluster without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='lexspark-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: computed once, whichever executors are lost later."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 
+from .csv_ranges import read_csv
+
 # File-name fragment -> source, the order of sources, gloss priorities, reading columns.
 SOURCE_FILES = {
     "iTaigiHoataiTuichiautian": "itaigi",
@@ -27,12 +29,11 @@ ENTRY = ("hanlo", "kip_input", "rime_key", "hoabun", "source", "seq")
 
 
 def csv(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
-    """CSV with header, quoted line breaks and doubled quotes; a byte-order mark is no part of the first name.
+    """CSV with header, quoted line breaks and doubled quotes, read by ranges of bytes; a byte-order mark is no part of the first name.
 
-    `seq` orders rows by file and place; within a file Spark reads quoted multi-line CSV in one task, so the place is the row's number there.
+    `_file` and `_row` order rows by file and place: the number of the record in its file, whichever tasks read it.
     """
-    read = spark.read.options(header=True, multiLine=True, escape='"', sep=sep, mode="PERMISSIVE", enforceSchema=False).csv(path)
-    return read.select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    return read_csv(spark, path, sep)
 
 
 def cell(df: DataFrame, name: str) -> Column:
@@ -314,7 +315,3 @@ def latest(spark: SparkSession, folder: str, wanted: str) -> str | None:
 def first_present(spark: SparkSession, *paths: str) -> str | None:
     return next((x for x in paths if found(spark, x)), None)
 
-
-def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table of fixed values."""
-    return spark.createDataFrame(rows, schema)
