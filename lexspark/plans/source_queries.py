@@ -14,7 +14,7 @@ from .registry import register
 def csv_of(df, name: str) -> str:
     """df as CSV files with all cells quoted; gives their folder."""
     path = shared_path(df.sparkSession, name)
-    df.write.options(header=True, quoteAll=True, escape='"').csv(path)
+    df.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 
