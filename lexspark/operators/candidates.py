@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 
+from .contains import WordList
 from .lookup import longest_suffix
 
 #: Options -> mode: full romanisation adds 2, the other spelling adds 1.
@@ -62,7 +63,7 @@ def _synced(text: Column, roman: Column) -> Column:
 
 
 def _rewritten(text: Column, roman: Column, lo: Column) -> tuple[Column, Column]:
-    """The text with words of kind "lo" as marked romanisation, and whether any was. lo: array of those words.
+    """The text with words of kind "lo" as marked romanisation, and whether any was. lo: array of those of its segments that are such words (rule_hits).
 
     The whole text first; else group by group between light-tone marks, a group as a whole or character by character where it has as many characters as syllables.
     """
@@ -79,21 +80,33 @@ def _rewritten(text: Column, roman: Column, lo: Column) -> tuple[Column, Column]
     return out, (roman != "") & (whole | ((F.size(ts) == F.size(rs)) & (parts != text)))
 
 
-def lo_words_of(rules: DataFrame) -> Column:
-    """The words that (word, type) rules write in Latin letters, as an array for `rewritten`: a scalar subquery, run with the plan that uses it. Rules are a table of some hundred rows."""
-    return rules.where("type = 'lo'").agg(F.collect_set("word")).scalar()
+def lo_words_of(rules: DataFrame) -> DataFrame:
+    """(word): what (word, type) rules write in Latin letters."""
+    return rules.where("type = 'lo'").select("word")
 
 
-def rewritten(df: DataFrame, lo_words: list[str] | Column, mode: int = 0) -> DataFrame:
+def rule_hits(texts: DataFrame, lo_words: DataFrame) -> DataFrame:
+    """(text, _lo): of each text, those of its segments that are words of the list: the whole without light-tone marks, the groups between them, and single characters.
+
+    The segments of distinct texts meet the words by equality, so the cost doesn't grow with the number of rules; a short list is broadcast by Spark's own measure of its size, a long one shuffled.
+    """
+    bare = F.replace("text", F.lit("--"), F.lit(""))
+    segments = F.array_distinct(F.concat(F.array(bare), F.split("text", "--", -1), T.characters(bare)))
+    rows = texts.select("text").distinct().select("text", F.explode(segments).alias("word")).where("word <> ''")
+    return rows.join(lo_words.select("word").distinct(), "word").groupBy("text").agg(F.collect_set("word").alias("_lo"))
+
+
+def rewritten(df: DataFrame, lo_words: list[str] | DataFrame, mode: int = 0) -> DataFrame:
     """The core filter: texts in Han or Latin by rule, comments with marked romanisation, quality raised for romanised and long texts. Order stays.
 
-    Modes 0 and 1 (other spelling) raise by the text's length; 2 and 3 by its syllables. lo_words: the words that rules write in Latin letters, as a list or an array column (lo_words_of).
+    Modes 0 and 1 (other spelling) raise by the text's length; 2 and 3 by its syllables. lo_words: the words that rules write in Latin letters, as a list or a table of (word).
     """
-    lo = F.array(*map(F.lit, lo_words)) if isinstance(lo_words, list) and lo_words else F.array().cast("array<string>")
-    df, lo = df.withColumn("_lo", lo_words if isinstance(lo_words, Column) else lo), F.col("_lo")
+    if isinstance(lo_words, list):
+        lo_words = df.sparkSession.createDataFrame([(w,) for w in lo_words], "word string")
+    df = df.join(rule_hits(df, lo_words), "text", "left").withColumn("_lo", F.coalesce("_lo", F.array().cast("array<string>"))).select(*df.columns, "_lo")
     raw = _synced(F.col("text"), T.bracketed(F.coalesce("comment", F.lit(""))))
     df = df.withColumn("_raw", raw)
-    text, has = _rewritten(F.col("text"), F.col("_raw"), lo)
+    text, has = _rewritten(F.col("text"), F.col("_raw"), F.col("_lo"))
     df = df.withColumns({"_text": text, "_has": has})
     poj = mode in (1, 3)
     shown = F.when(F.col("_has"), T.poj_marks(T.tl_to_poj(F.col("_text")))).otherwise(F.col("_text")) if poj else F.col("_text")
@@ -117,20 +130,17 @@ def with_both_spellings(df: DataFrame) -> DataFrame:
 def recommended(df: DataFrame, words: DataFrame, enabled: bool = True) -> DataFrame:
     """Marks before the bracket of comments: a diamond if the text holds a recommended Han word, a star for a Latin one.
 
-    words: (word, type), type han or lo. The texts' substrings up to the longest word meet the words by equality, so there is no join of all with all.
+    words: (word, type), type han or lo. Each text goes once through an automaton of all words.
     """
     if not enabled:
         return df
-    longest = F.coalesce(words.agg(F.max(F.length("word"))).scalar(), F.lit(1))
-    texts = df.select("text").distinct().where("text <> ''")
-    n = F.length("text")
-    spans = texts.select("text", F.explode(F.sequence(F.lit(1), n)).alias("at")).select("text", "at", F.explode(F.sequence(F.lit(1), F.least(longest, F.length("text") - F.col("at") + 1))).alias("n"))
-    hits = spans.select("text", F.substring("text", F.col("at"), F.col("n")).alias("word")).join(words, "word").groupBy("text").agg(F.bool_or(F.col("type") == "han").alias("_han"), F.bool_or(F.col("type") == "lo").alias("_lo"))
+    tags = WordList(words, "word", "type").tags(F.col("text"))
+    rows = df.withColumn("_tags", tags).withColumns({"_han": F.array_contains("_tags", "han"), "_lo": F.array_contains("_tags", "lo")})
     mark = F.concat(F.when(F.col("_han"), F.lit("◆")).otherwise(F.lit("")), F.when(F.col("_lo"), F.lit("★")).otherwise(F.lit("")), F.lit(" "))
     at = F.instr(F.col("comment"), "[")
     comment = F.concat(F.left("comment", at - 1), mark, F.substring("comment", at, F.length("comment")))
     marked = (F.col("_han") | F.col("_lo")) & (at > 0)
-    return df.join(hits, "text", "left").withColumn("comment", F.when(marked, comment).otherwise(F.col("comment"))).select(df.columns)
+    return rows.withColumn("comment", F.when(marked, comment).otherwise(F.col("comment"))).select(df.columns)
 
 
 def synonyms(df: DataFrame) -> DataFrame:
@@ -162,7 +172,7 @@ def paged(df: DataFrame, size: int = 10, keys: str = "asdfghjkl;") -> DataFrame:
     return df.withColumns({"page": F.floor((F.col("pos") - 1) / size).cast("int"), "on_page": at.cast("int"), "key": F.substring(F.lit(keys), at.cast("int") + 1, F.lit(1))})
 
 
-def chain(df: DataFrame, rules: DataFrame, lo_words: list[str] | Column, words: DataFrame, mode: int = 0) -> DataFrame:
+def chain(df: DataFrame, rules: DataFrame, lo_words: list[str] | DataFrame, words: DataFrame, mode: int = 0) -> DataFrame:
     """All filters in order: light tones, rewriting, both spellings, recommendations, synonyms, long words, readings, unique texts."""
     out = with_light_tones(df, rules)
     out = with_both_spellings(rewritten(out, lo_words, mode))
