@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexspark.operators import candidates, contains
+from lexspark.operators import candidates, contains, prefix_index
+from lexspark.session import shared_path
 
 from .corpus_queries import table
 from .registry import ORACLE, register
@@ -84,3 +85,17 @@ def contains_words(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", contains.WordList(words).found(F.col("text")).alias("found")).where("size(found) > 0")
     total = F.aggregate(found, F.lit(0).cast("long"), lambda n, w: n + F.length(w))
     return rows.select("doc_id", F.size(found).cast("long").alias("n"), F.element_at(found, 1).alias("first_word"), F.element_at(found, -1).alias("last_word"), total.alias("n_chars"))
+
+
+@register(
+    "prefix_index_lookup",
+    """WITH q AS (SELECT DISTINCT left(p_name, 1 + p_size % 6) AS input FROM part UNION SELECT DISTINCT left(p_type, 1) FROM part)
+SELECT input, pos::INTEGER AS pos, p_partkey FROM (SELECT input, p_partkey, row_number() OVER (PARTITION BY input ORDER BY p_size DESC, p_name, printf('%09d', p_partkey)) AS pos FROM q JOIN part ON starts_with(p_name, input)) WHERE pos <= 100""",
+)
+def prefix_index_lookup(spark, sf_dir):
+    """The hundred weightiest entries (the look-up's own limit) of inputs that come from the table, through the stored index."""
+    part = table(spark, sf_dir, "part")
+    path = shared_path(spark, "prefixes")
+    prefix_index.build(part.select(F.col("p_name").alias("rime_key"), F.col("p_size").alias("weight"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("hanlo"), "p_partkey"), path)
+    inputs = part.select(F.left("p_name", 1 + F.col("p_size") % 6).alias("input")).unionByName(part.select(F.left("p_type", F.lit(1)).alias("input"))).distinct()
+    return prefix_index.look_up(inputs, path).select("input", "pos", "p_partkey")
