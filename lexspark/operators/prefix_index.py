@@ -15,11 +15,11 @@ def build(lexicon: DataFrame, path: str, k: int = LIMIT) -> int:
     """
     spark = lexicon.sparkSession
     lexicon.where("rime_key <> ''").withColumn("len", F.length("rime_key")).repartition("len").write.mode("overwrite").partitionBy("len").parquet(f"{path}/codes")
-    codes = spark.read.parquet(f"{path}/codes")
+    codes = spark.read.schema(lexicon.schema.add("len", "integer")).parquet(f"{path}/codes")
     top = codes.agg(F.max("len")).first()[0] or 0
     columns = lexicon.columns
     by_rank = Window.partitionBy("prefix").orderBy(F.desc("weight"), "rime_key", "hanlo")
-    for at in range(top, 0, -1):
+    for at in range(max(top, 1), 0, -1):  # of an empty lexicon, one empty level
         rows = codes.where(F.col("len") == at).select(*columns)
         if at < top:
             rows = rows.unionByName(spark.read.schema(level.schema).parquet(f"{path}/prefixes/len={at + 1}").select(*columns))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexspark.operators import candidates, contains, prefix_index
+from lexspark.functions import text as T
+from lexspark.operators import candidates, contains, lookup, prefix_index
 from lexspark.session import shared_path
 
 from .corpus_queries import table
@@ -99,3 +100,70 @@ def prefix_index_lookup(spark, sf_dir):
     prefix_index.build(part.select(F.col("p_name").alias("rime_key"), F.col("p_size").alias("weight"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("hanlo"), "p_partkey"), path)
     inputs = part.select(F.left("p_name", 1 + F.col("p_size") % 6).alias("input")).unionByName(part.select(F.left("p_type", F.lit(1)).alias("input"))).distinct()
     return prefix_index.look_up(inputs, path).select("input", "pos", "p_partkey")
+
+
+
+@register(
+    "both_spellings",
+    f"SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN p_name WHEN {_spelled('p_name')} = p_name THEN ' [' || p_name || ']' ELSE ' [TL:' || p_name || ' POJ:' || {_spelled('p_name')} || ']' END AS comment FROM part",
+)
+def both_spellings(spark, sf_dir):
+    """Comments with both spellings where they differ; those without brackets stay."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 10 == 0, F.col("p_name")).otherwise(F.concat(F.lit(" ["), "p_name", F.lit("]"))).alias("comment"))
+    return candidates.with_both_spellings(rows)
+
+
+def _marked_words() -> str:
+    """(code, marked) of the numbered words of part names, in DuckDB SQL."""
+    sql = ORACLE["tone_marks"]
+    return "WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) || d AS code FROM part, (SELECT unnest(range(1, 10)) AS d))" + sql[sql.index(",\nb AS"):]
+
+
+@register(
+    "reading_comments",
+    f"""WITH m AS ({_marked_words()}), c AS (SELECT p_partkey, p_size, split_part(p_name, ' ', 1) || (p_size % 9 + 1) AS a, split_part(p_name, ' ', 2) || (p_partkey % 9 + 1) AS b, p_name FROM part)
+SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '  ' || p_name ELSE x.marked || ' ' || y.marked || '(白)' END AS comment FROM c JOIN m x ON x.code = a JOIN m y ON y.code = b""",
+)
+def reading_comments(spark, sf_dir):
+    """Numbered readings as marked ones, notes behind them kept; comments without digits stay."""
+    word = lambda i, n: F.concat(F.split_part("p_name", F.lit(" "), F.lit(i)), (n % 9 + 1).cast("string"))
+    comment = F.when(F.col("p_size") % 10 == 0, F.concat(F.lit("  "), "p_name")).otherwise(F.concat(word(1, F.col("p_size")), F.lit("  "), word(2, F.col("p_partkey")), F.lit("(白)")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", comment.alias("comment"))
+    return candidates.formatted_readings(candidates.synonyms(rows))
+
+
+@register(
+    "marked_codes",
+    f"""WITH m AS ({_marked_words()}), c AS (SELECT DISTINCT split_part(p_name, ' ', 1) || (p_size % 9 + 1) AS a, split_part(p_name, ' ', 2) || (p_size % 7 + 1) AS b FROM part)
+SELECT a || ' ' || b || '--' || a AS code, x.marked || '-' || y.marked || '--' || x.marked AS marked FROM c JOIN m x ON x.code = a JOIN m y ON y.code = b""",
+)
+def marked_codes(spark, sf_dir):
+    """Keys of several syllables with a light-tone boundary, marked."""
+    word = lambda i, k: F.concat(F.split_part("p_name", F.lit(" "), F.lit(i)), (F.col("p_size") % k + 1).cast("string"))
+    rows = table(spark, sf_dir, "part").select(word(1, 9).alias("a"), word(2, 7).alias("b")).distinct()
+    code = F.concat(F.concat_ws(" ", "a", "b"), F.lit("--"), F.col("a"))
+    return rows.select(code.alias("code"), T.marked(code).alias("marked"))
+
+
+@register(
+    "merged_candidates",
+    """WITH a AS (SELECT p_brand AS query_id, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS pos FROM part WHERE p_size % 2 = 0),
+b AS (SELECT p_brand AS query_id, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS pos FROM part WHERE p_size % 3 = 0),
+u AS (SELECT *, 0 AS t FROM a UNION ALL SELECT *, 1 FROM b) SELECT query_id, p_partkey, row_number() OVER (PARTITION BY query_id ORDER BY t, pos)::INTEGER AS pos FROM u""",
+)
+def merged_candidates(spark, sf_dir):
+    """Candidates of two translators, those of the first before those of the second."""
+    part = table(spark, sf_dir, "part").withColumn("query_id", F.col("p_brand"))
+    ranked = lambda where, *order: candidates.repositioned(part.where(where), *order).select("query_id", "p_partkey", "pos")
+    return candidates.merged(ranked("p_size % 2 = 0", "p_retailprice", "p_partkey"), ranked("p_size % 3 = 0", F.desc("p_size"), "p_partkey"))
+
+
+@register(
+    "toneless_rules",
+    "SELECT p_partkey AS seq, lower(replace(p_name, ' ', '-')) AS tail, p_type AS hanzi, p_brand AS rule FROM part WHERE p_size % 5 <> 0",
+)
+def toneless_rules(spark, sf_dir):
+    """Light-tone rules made ready for suffix matching: combining marks dropped, those that ask for no change left out."""
+    name = F.upper(F.replace("p_name", F.lit(" "), F.lit("\u0301-\u0300")))
+    rules = table(spark, sf_dir, "part").select(name.alias("tl"), F.col("p_type").alias("hanzi"), F.when(F.col("p_size") % 5 == 0, "不處理").otherwise(F.col("p_brand")).alias("rule"), F.col("p_partkey").alias("seq"))
+    return lookup.toneless_rules(rules).select("seq", "tail", "hanzi", "rule")

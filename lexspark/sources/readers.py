@@ -293,10 +293,14 @@ def frequencies(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, path: str, bad_weight: int | None = 0) -> DataFrame:
-    """(hanlo, rime_key, weight, seq) behind a file's header, which ends with a line of three dots. A weight that is no number counts as bad_weight; None drops its row."""
-    lines = numbered_lines(spark, path)
-    head = lines.where("trim(value) = '...'").groupBy("file").agg(F.min("line_no").alias("_head"))
-    rows = lines.join(head, "file").where("line_no > _head AND NOT startswith(value, '#')").withColumn("f", F.split("value", "\t", -1)).where("size(f) >= 3")
+    """(hanlo, rime_key, weight, seq) behind a file's header, which ends with a line of three dots. A weight that is no number counts as bad_weight; None drops its row.
+
+    The parts of a folder that was written in order (part-00000 and so on) are one file: what follows the first part needs no header.
+    """
+    whole = F.regexp_replace("file", r"/part-\d[^/]*$", "")
+    lines = numbered_lines(spark, path).withColumn("_whole", whole)
+    head = lines.where("trim(value) = '...'").groupBy("_whole").agg(F.min(F.struct("file", "line_no")).alias("_head"))
+    rows = lines.join(head, "_whole").where((F.struct("file", "line_no") > F.col("_head")) & ~F.startswith("value", F.lit("#"))).withColumn("f", F.split("value", "\t", -1)).where("size(f) >= 3")
     weight = F.coalesce(F.expr("try_cast(trim(f[2]) AS int)"), F.lit(bad_weight).cast("int"))
     return rows.select(F.get("f", F.lit(0)).alias("hanlo"), F.get("f", F.lit(1)).alias("rime_key"), weight.alias("weight"), F.struct("file", "line_no").alias("seq")).where("weight IS NOT NULL")
 
