@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .lookup import LIMIT
 
@@ -15,7 +16,7 @@ def build(lexicon: DataFrame, path: str, k: int = LIMIT) -> int:
     """
     spark = lexicon.sparkSession
     lexicon.where("rime_key <> ''").withColumn("len", F.length("rime_key")).repartition("len").write.mode("overwrite").partitionBy("len").parquet(f"{path}/codes")
-    codes = spark.read.schema(lexicon.schema.add("len", "integer")).parquet(f"{path}/codes")
+    codes = spark.read.schema(StructType([*lexicon.schema.fields, StructField("len", IntegerType())])).parquet(f"{path}/codes")
     top = codes.agg(F.max("len")).first()[0] or 0
     columns = lexicon.columns
     by_rank = Window.partitionBy("prefix").orderBy(F.desc("weight"), "rime_key", "hanlo")

@@ -8,6 +8,7 @@ from lexspark.functions import text as T
 from lexspark.operators import candidates, contains, lookup, prefix_index
 from lexspark.session import shared_path
 
+from . import declared
 from .corpus_queries import table
 from .registry import ORACLE, register
 
@@ -167,3 +168,19 @@ def toneless_rules(spark, sf_dir):
     name = F.upper(F.replace("p_name", F.lit(" "), F.lit("\u0301-\u0300")))
     rules = table(spark, sf_dir, "part").select(name.alias("tl"), F.col("p_type").alias("hanzi"), F.when(F.col("p_size") % 5 == 0, "不處理").otherwise(F.col("p_brand")).alias("rule"), F.col("p_partkey").alias("seq"))
     return lookup.toneless_rules(rules).select("seq", "tail", "hanzi", "rule")
+
+
+@register(
+    "reverse_translator",
+    f"""WITH w AS (SELECT split_part(p_name, ' ', 1) AS code, p_type || p_partkey AS hanlo, p_name AS reading, p_size AS weight FROM part), q AS (SELECT DISTINCT '~' || code AS query_id, code FROM w),
+r AS (SELECT query_id, hanlo, reading, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, hanlo) AS pos FROM q JOIN w USING (code))
+SELECT query_id, pos::INTEGER AS pos, hanlo AS text, CASE WHEN {_spelled('reading')} = reading THEN ' [' || reading || ']' ELSE ' [TL:' || reading || ' POJ:' || {_spelled('reading')} || ']' END AS comment FROM r WHERE pos <= 100""",
+)
+def reverse_translator(spark, sf_dir):
+    """A declared chain: inputs with a tilde through the reverse translator (a hundred entries, its own limit), both spellings and unique texts; other inputs have no translator."""
+    part = table(spark, sf_dir, "part").withColumn("code", F.split_part("p_name", F.lit(" "), F.lit(1)))
+    reverse = part.select(F.concat("p_type", F.col("p_partkey").cast("string")).alias("hanlo"), F.col("code").alias("rime_key"), F.col("p_name").alias("reading"), F.col("p_size").alias("weight"))
+    inputs = part.select(F.explode(F.array("code", F.concat(F.lit("~"), "code"))).alias("input")).distinct()
+    chain = declared.declared(["engine:", "  translators:", "    - reverse_lookup_translator", "  filters:", "    - lua_filter@*any_lookup", "    - uniquifier"])
+    out = declared.composed(chain, declared.Context({"reverse": reverse}), inputs.select(F.col("input").alias("query_id"), "input"))
+    return out.select("query_id", "pos", "text", "comment")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexspark.operators import lighttone
+from lexspark.operators import lighttone, snapshots
 from lexspark.session import shared_path
 from lexspark.sources import csv_ranges, readers, sinks
 
@@ -171,3 +171,19 @@ def light_word_counts(spark, sf_dir):
     name = F.col("p_name")
     word = F.when(F.col("p_size") % 3 == 0, F.concat(F.replace(name, F.lit(" "), F.lit("-(")), F.lit("--"))).otherwise(F.upper(F.replace(name, F.lit(" "), F.lit("--"))))
     return lighttone.ordered_light_words(table(spark, sf_dir, "part").groupBy(word.alias("word")).agg(F.sum("p_size").alias("cnt")))
+
+
+@register("snapshot_rebuild", "SELECT p_type, count(*) AS n, sum(p_size)::BIGINT AS total, min(p_name) AS first_name FROM part GROUP BY p_type")
+def snapshot_rebuild(spark, sf_dir):
+    """Counts by type, first of a snapshot in which one brand's parts differ, then rebuilt for the buckets that the table's own rows change."""
+    part = table(spark, sf_dir, "part").select("p_type", "p_name", "p_size", "p_partkey")
+    before = table(spark, sf_dir, "part").select("p_type", "p_name", F.when(F.col("p_brand") == "Brand#1", 0).otherwise(F.col("p_size")).cast("int").alias("p_size"), "p_partkey")
+    path = shared_path(spark, "snapshots")
+
+    def counts(df):
+        return df.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").cast("long").alias("total"), F.min("p_name").alias("first_name"))
+
+    snapshots.write(before, f"{path}/1", ["p_type"], 64)
+    snapshots.rebuild(before, f"{path}/0", f"{path}/1", f"{path}/out", counts, ["p_type"], 64)
+    snapshots.write(part, f"{path}/2", ["p_type"], 64)
+    return snapshots.rebuild(part, f"{path}/1", f"{path}/2", f"{path}/out", counts, ["p_type"], 64)

@@ -205,3 +205,28 @@ def test_build_joins_all_parts(spark, dictionaries, tmp_path):
     assert ("倒轉來", "tng2  lai5") in got
     assert sorted(values(corpus.summary(readers.frequencies(spark, out + "/frequencies.txt")), "unique_words", "total_tokens")) == [(4, 14)]
     assert readers.gloss_map(spark, out + "/glosses.txt").where("mandarin = '吃飯'").first().kip == "tsiah8 png7"
+
+
+def test_build_counts_while_it_writes_and_runs_from_the_command_line(spark, dictionaries, tmp_path, capsys):
+    import json
+
+    (tmp_path / "corpus").mkdir()
+    (tmp_path / "corpus" / "a.txt").write_text("tsiah8-png7 tsit8 tsiah8-png7 tsit8\n" * 3 + "tng2--lai5 a\n\nno numbers here\n")
+    (tmp_path / "rules.csv").write_text("臺羅,漢字,分連不處理\nlâi,來,補語\n")
+    (tmp_path / "reverse.csv").write_text('漢字,羅馬字,詞目類型\n食,tsiah8,主詞目\n食,sit8,附錄\n"飯",png7,附錄\n')
+    (tmp_path / "voc.csv").write_text("詞目,音讀,主編碼,文白屬性\n食,tsiah8,1,0\n食,sit8,2,1\n")
+    (tmp_path / "write.csv").write_text("建議用字,數字版音讀,音讀,對應華語\nê,e5,,的\n食飯,,tsiah8-png7,吃飯\n")
+    out = f"file://{tmp_path}/out"
+    arguments = ["--dictionaries", dictionaries, "--corpus", f"file://{tmp_path}/corpus", "--rules", f"file://{tmp_path}/rules.csv", "--output", out, "--match", "toneless", "--min-count", "3"]
+    build.main([*arguments, "--reverse", f"file://{tmp_path}/reverse.csv", "--vocabulary", f"file://{tmp_path}/voc.csv", "--writing-rules", f"file://{tmp_path}/write.csv"], spark)
+    told = json.loads(capsys.readouterr().out.splitlines()[-1])
+    report = json.loads(spark.read.text(f"{out}/report.json").first().value)
+    whole = spark.read.parquet(f"{out}/lexicon")
+    assert told["entries"] == report["entries"] == whole.count() and report["violations"] == 0
+    assert report["heaviest"] == whole.agg({"weight": "max"}).first()[0]
+    assert (report["unique_words"], report["total_tokens"]) == (4, 14) and report["sentences"] == 4 and report["sentence_tokens"] == 14
+    assert {(r.hanlo, r.rime_key, r.weight) for r in readers.lexicon(spark, f"{out}/reverse.txt").collect()} == {("食", "tsiah8", 500), ("飯", "png7", 300)}
+    assert readers.lexicon(spark, f"{out}/vocabulary.txt").count() == 2
+    assert {(r.word, r.type) for r in readers.writing_rules_yaml(spark, f"{out}/writing_rules.yaml").collect()} == {("ê", "lo"), ("食飯", "han")}
+    assert {r.word for r in readers.word_list_yaml(spark, f"{out}/words.yaml").collect()} == {"ê", "食飯"}
+    assert readers.light_tone_rules_json(spark, f"{out}/light_tones.json").count() == 1
