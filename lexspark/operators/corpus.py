@@ -45,9 +45,10 @@ def sentences(lines: DataFrame, column: str = "line", tokens=T.tokens, keep: tup
 def pair_counts(sentences_: DataFrame, tokens: str = "tokens", min_count: int = 1) -> DataFrame:
     """(w1, w2, cnt) of neighbouring tokens, tones dropped; a blank token parts its neighbours and pairs with none.
 
-    Tones are dropped once a token, in a column of its own; each array is then paired with itself, one place on, so nothing is shuffled but the counts.
+    Tones are dropped from all tokens of a row at once, put together by a line break, which no token holds; each array is then paired with itself, one place on, so nothing is shuffled but the counts.
     """
-    t = sentences_.select(F.transform(F.col(tokens), lambda x: F.trim(T.strip_all_tones(x))).alias("t"))
+    joined = F.translate(F.array_join(tokens, "\n", ""), "123456789", "")
+    t = sentences_.select(F.split(joined, "\n", -1).alias("t"))
     rows = t.select(F.explode(F.arrays_zip(F.expr("slice(t, 1, greatest(size(t) - 1, 0))").alias("w1"), F.expr("slice(t, 2, greatest(size(t) - 1, 0))").alias("w2"))).alias("p"))
     rows = rows.select("p.w1", "p.w2").where("w1 <> '' AND w2 <> ''")
     return rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= min_count)
