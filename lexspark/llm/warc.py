@@ -194,7 +194,8 @@ def _mended(path: str, spark, magic: str, rows: DataFrame, torn: DataFrame, smal
 
     files = small(torn.select("file").distinct())
     parts = _parts(path, spark, magic).mapInArrow(lay, "file string, block long, place long, part binary").join(files, "file", "left_semi")
-    parts = parts.join(F.broadcast(_bases(rows)) if small is F.broadcast else _bases(rows), ["file", "block"]).withColumn("place", F.col("place") + F.col("_base"))
+    bases = cut(_bases(rows))  # a row for each range of bytes
+    parts = parts.join(F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases, ["file", "block"]).withColumn("place", F.col("place") + F.col("_base"))
     held = parts.join(small(torn.select("file", "offset", "next")), "file").where("place >= offset and place < next").select("file", "offset", "place", "part")
 
     def joined(table: pa.Table) -> pa.Table:
