@@ -9,8 +9,8 @@ from lexspark.sources.readers import numbered_lines
 
 
 def duplicate_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows that repeat the keys of an earlier row."""
-    first = df.groupBy(*keys).agg(F.min(order).alias("_first"))
+    """Rows that repeat the keys of an earlier row. Only keys that several rows have meet the rows again."""
+    first = df.groupBy(*keys).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     return df.join(first, keys).where(F.col(order) > F.col("_first")).drop("_first")
 
 

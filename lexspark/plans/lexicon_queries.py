@@ -253,12 +253,19 @@ def fuzzy_lookup(spark, sf_dir):
     return lookup.fuzzy(queries, lookup.spellings(lex)).select("input", "rime_key")
 
 
-_WILD = ((1, "?a"), (2, "s?e"), (3, "l?"), (4, "p?n5"), (5, "?"))
+#: Inputs with a wildcard, made of the parts' names.
+_WILD = """(SELECT min(p_partkey) AS query_id, input FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '?' || right(split_part(p_name, ' ', 1), 1) WHEN 1 THEN left(p_name, 1) || '?' || right(split_part(p_name, ' ', 1), 1) WHEN 2 THEN left(p_name, 1) || '?' WHEN 3 THEN left(p_name, 1) || '?n5' ELSE '?' END AS input FROM part) GROUP BY input)"""
+
+
+def _wild(spark, sf_dir):
+    first, end, size = F.left("p_name", F.lit(1)), F.right(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(1)), F.col("p_size") % 5
+    text = F.when(size == 0, F.concat(F.lit("?"), end)).when(size == 1, F.concat(first, F.lit("?"), end)).when(size == 2, F.concat(first, F.lit("?"))).when(size == 3, F.concat(first, F.lit("?n5"))).otherwise(F.lit("?"))
+    return table(spark, sf_dir, "part").groupBy(text.alias("input")).agg(F.min("p_partkey").alias("query_id"))
 
 
 @register(
     "wildcard_expand",
-    f"""WITH q(query_id, input) AS (VALUES {', '.join(f"({i}, '{x}')" for i, x in _WILD)}),
+    f"""WITH q AS {_WILD},
 i AS (SELECT * FROM (VALUES {', '.join(f"('{x}', {k})" for k, x in enumerate(lookup.INITIALS))}) t(ini, a)), f AS (SELECT * FROM (VALUES {', '.join(f"('{x}', {k})" for k, x in enumerate(lookup.FINALS))}) t(fin, b)),
 p AS (SELECT query_id, split_part(input, '?', 1) AS pre, split_part(input, '?', 2) AS rest, regexp_replace(split_part(input, '?', 2), '[0-9]+$', '') AS post, regexp_extract(split_part(input, '?', 2), '([0-9]*)$', 1) AS tone FROM q),
 c AS (SELECT query_id, ini || rest AS code, a AS seq FROM p, i WHERE pre = '' UNION ALL
@@ -266,8 +273,7 @@ SELECT query_id, ini || fin || tone, a * {len(lookup.FINALS)} + b FROM p, i, f W
 SELECT query_id::BIGINT AS query_id, code, min(seq)::INTEGER AS seq FROM c WHERE code <> '' GROUP BY ALL""",
 )
 def wildcard_expand(spark, sf_dir):
-    queries = spark.createDataFrame(list(_WILD), "query_id long, input string")
-    return lookup.wildcard_codes(queries)
+    return lookup.wildcard_codes(_wild(spark, sf_dir))
 
 
 @register(
@@ -280,22 +286,25 @@ k AS (SELECT code, count(DISTINCT p_type) AS n FROM r WHERE pos <= 100 GROUP BY
 def wildcard_counts(spark, sf_dir):
     """What each wildcard may stand for, with the distinct texts among the first hundred entries of each (the look-up's own limit)."""
     lex = table(spark, sf_dir, "part").select(F.element_at(F.split("p_name", " "), 1).alias("rime_key"), F.col("p_type").alias("hanlo")).distinct().withColumn("weight", F.lit(1))
-    return lookup.wildcard(spark.createDataFrame(list(_WILD), "query_id long, input string"), lex)
+    return lookup.wildcard(_wild(spark, sf_dir), lex)
 
 
-_PHRASES = ((1, ";s"), (2, ";la"), (3, ";zz"), (4, "s"), (5, ";m"))
+#: Phrase inputs, made of the parts' names and types; some have no entry.
+_PHRASES = "(SELECT min(p_partkey) AS query_id, input FROM (SELECT p_partkey, left(CASE WHEN p_size % 7 = 0 THEN lower(p_type) ELSE p_name END, (1 + p_size % 3)::INTEGER) AS input FROM part) GROUP BY input)"
 
 
 @register(
     "phrase_lookup",
-    f"""WITH q(query_id, input) AS (VALUES {', '.join(f"({i}, '{x[1:]}')" for i, x in _PHRASES if x[0] == ';')}), w AS (SELECT split_part(p_name, ' ', 1) AS rime_key, left(p_type, 5) AS hanlo, max(p_size) AS weight FROM part GROUP BY ALL),
+    f"""WITH q AS {_PHRASES}, w AS (SELECT split_part(p_name, ' ', 1) AS rime_key, left(p_type, 5) AS hanlo, max(p_size) AS weight FROM part GROUP BY ALL),
 r AS (SELECT query_id, hanlo, rime_key, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, rime_key, hanlo) AS pos FROM q JOIN w ON starts_with(rime_key, input)),
 f AS (SELECT query_id, hanlo, min(pos)::INTEGER AS pos, arg_min(rime_key, pos) AS rime_key FROM r WHERE pos <= 100 GROUP BY ALL) SELECT query_id::BIGINT AS query_id, input, hanlo, pos, rime_key FROM q LEFT JOIN f USING (query_id)""",
 )
 def phrase_lookup(spark, sf_dir):
     """Texts for phrase inputs, each once; an input without any has a row that says so."""
     lex = table(spark, sf_dir, "part").groupBy(F.element_at(F.split("p_name", " "), 1).alias("rime_key"), F.left("p_type", F.lit(5)).alias("hanlo")).agg(F.max("p_size").alias("weight"))
-    return lookup.phrase(spark.createDataFrame(list(_PHRASES), "query_id long, input string"), lex)
+    text = F.left(F.when(F.col("p_size") % 7 == 0, F.lower("p_type")).otherwise(F.col("p_name")), 1 + F.col("p_size") % 3)
+    queries = table(spark, sf_dir, "part").groupBy(F.concat(F.lit(";"), text).alias("input")).agg(F.min("p_partkey").alias("query_id"))
+    return lookup.phrase(queries, lex)
 
 
 @register(
