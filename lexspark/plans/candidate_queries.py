@@ -8,7 +8,7 @@ from lexspark.functions import text as T
 from lexspark.operators import candidates, contains, lookup, prefix_index
 from lexspark.session import shared_path
 
-from . import declared
+from . import declared, string_queries  # noqa: F401  their SQL is used here
 from .corpus_queries import table
 from .registry import ORACLE, register
 
@@ -17,8 +17,8 @@ _MODES = (0, 1, 2, 3)
 
 def _spelled(text: str) -> str:
     """The other spelling, in DuckDB SQL."""
-    start, _, rest = ORACLE["tl_poj"].partition(" AS by_words, ")[2].partition(f" AS shown FROM ")
-    return start.replace("replace(code,", f"replace({text},")
+    shown = ORACLE["tl_poj"].partition(" AS by_words, ")[2].partition(" AS shown FROM ")[0]
+    return shown.replace("replace(code,", f"replace({text},")
 
 
 _CHAR = "chr((19968 + ascii({w}) % 26 * 26 + len({w}))::INTEGER)"

@@ -19,8 +19,7 @@ def register(name: str, sql: str | None):
 
 
 def queries() -> dict:
-    from . import string_queries  # noqa: F401, I001  they register their queries; some use the SQL of those before
-    from . import candidate_queries, corpus_queries, lexicon_queries, source_queries  # noqa: F401
+    from . import candidate_queries, corpus_queries, lexicon_queries, source_queries, string_queries  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 
