@@ -237,8 +237,18 @@ def light_tone_rules(df: DataFrame) -> DataFrame:
 
 
 def light_tone_rules_json(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema("tl string, hanzi string, rule string").option("multiLine", True).json(path)
-    return rows.select("*", F.monotonically_increasing_id().alias("seq"))
+    """(tl, hanzi, rule, seq) of a JSON array of rules.
+
+    The parts of a folder that was written in order (part-00000 and so on) are one array with whole rules in a line: they are read by lines, as no part is an array by itself, and a line that holds something else raises an error. Other files are read whole.
+    """
+    fields = "tl string, hanzi string, rule string"
+    part = F.startswith(F.col("_metadata.file_name"), F.lit("part-"))
+    file = F.col("_metadata.file_path").alias("file")
+    whole = spark.read.schema(fields).option("multiLine", True).json(path).where(~part).select("tl", "hanzi", "rule", F.struct(file, F.monotonically_increasing_id().alias("line_no")).alias("seq"))
+    inside = F.regexp_replace("value", r"^[\s,\[]+|[\s,\]]+$", "")
+    lines = numbered_lines(spark, path).where(F.regexp_like("file", F.lit(r"/part-[^/]*$"))).select(inside.alias("inside"), F.struct("file", "line_no").alias("seq")).where("inside <> ''")
+    found = F.from_json(F.concat(F.lit("["), "inside", F.lit("]")), f"array<struct<{fields.replace(' string', ': string')}>>", {"mode": "FAILFAST"})
+    return whole.unionByName(lines.select(F.explode(found).alias("r"), "seq").select("r.*", "seq"))
 
 
 def _unquoted(c: Column) -> Column:

@@ -57,10 +57,13 @@ def write_words(df: DataFrame, path: str) -> None:
 
 
 def write_rules_json(df: DataFrame, path: str) -> None:
-    """Light-tone rules as one JSON array, a rule a line; all but the first line bring their comma."""
-    first = df.agg(F.min("seq")).scalar()
-    value = F.concat(F.when(F.col("seq") == first, F.lit("")).otherwise(F.lit(",")), F.to_json(F.struct("tl", "hanzi", "rule")))
-    write_ordered(df.withColumn("value", value), path, F.col("seq"), head=["["], foot=["]"])
+    """Light-tone rules as one JSON array, a rule a line; all but the first line bring their comma. Rules with the same seq go by their texts, and equal ones are numbered, so just one line is the first."""
+    rule = F.struct("seq", "tl", "hanzi", "rule")
+    rows = df.groupBy("seq", "tl", "hanzi", "rule").agg(F.count(F.lit(1)).alias("_n"))
+    first = df.agg(F.min(rule).alias("_first"))
+    rows = rows.crossJoin(F.broadcast(first)).select("*", F.explode(F.sequence(F.lit(1), "_n")).alias("_i"))
+    comma = F.when(rule.eqNullSafe(F.col("_first")) & (F.col("_i") == 1), F.lit("")).otherwise(F.lit(","))
+    write_ordered(rows.withColumn("value", F.concat(comma, F.to_json(F.struct("tl", "hanzi", "rule")))), path, F.col("seq"), F.col("tl"), F.col("hanzi"), F.col("rule"), F.col("_i"), head=["["], foot=["]"])
 
 
 def vocabulary_reverse(df: DataFrame) -> DataFrame:

@@ -230,3 +230,25 @@ def test_build_counts_while_it_writes_and_runs_from_the_command_line(spark, dict
     assert {(r.word, r.type) for r in readers.writing_rules_yaml(spark, f"{out}/writing_rules.yaml").collect()} == {("ê", "lo"), ("食飯", "han")}
     assert {r.word for r in readers.word_list_yaml(spark, f"{out}/words.yaml").collect()} == {"ê", "食飯"}
     assert readers.light_tone_rules_json(spark, f"{out}/light_tones.json").count() == 1
+
+
+def test_rules_json_in_several_parts(spark, tmp_path):
+    """Each part is a piece of the array, and rules may share their seq or have none."""
+    data = [(f"a--{i}", f'x"],[{{{i}\n', None if i % 5 == 0 else "], [", None if i % 7 == 0 else i // 2) for i in range(3000)]
+    rules = spark.createDataFrame([*data, data[0], data[0]], "tl string, hanzi string, rule string, seq int")
+    path = f"file://{tmp_path}/rules"
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_rules_json(rules, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    parts = sorted((tmp_path / "rules").glob("part-*"))
+    assert sum(p.stat().st_size > 0 for p in parts) > 1
+    assert len(json.loads("".join(p.read_text() for p in parts))) == 3002
+    back = readers.light_tone_rules_json(spark, path)
+    want = [r[:3] for r in sorted([*data, data[0], data[0]], key=lambda r: (r[3] is not None, r[3] or 0, r[0]))]
+    assert values(back.orderBy("seq"), "tl", "hanzi", "rule") == want
+    (tmp_path / "rules" / "part-99999").write_text('{"tl": "cut')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.light_tone_rules_json(spark, path).collect()
