@@ -24,7 +24,7 @@ BASE = 1.005
 SLACK = 15.0
 #: Equal registers that a pair has at least to be looked at: two of similarity 0.75 have fewer with probability 1e-8, and nearly all that have fewer fall to the likelihood too, which costs far more.
 EQUAL = 67
-#: Members, and shingles of all members, of a block in which a mixed bucket is compared; larger buckets are first parted by a second band.
+#: Members, and shingles of all members, of a block in which a mixed bucket is compared; larger buckets are dealt in pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 #: Pairs whose registers are compared at once.
 AT_ONCE = 1 << 15
@@ -178,6 +178,7 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
     if len(left) and len(right):
         ids, labels, sizes = (group[c].to_numpy() for c in ("id", "label", "n_shingles"))
         regs = _registers(group["regs"])
+        columns = np.ascontiguousarray(regs.T)
         keys = band_keys(regs)
         band = int(group["key"].iloc[0]) & (BANDS - 1)
         same = group["_lo"].iloc[0] == group["_hi"].iloc[0]
@@ -185,13 +186,22 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
         step = max(1, AT_ONCE // len(right))
         for lo in range(0, len(left), step):
             part = left[lo : lo + step]
-            i, j = (x.reshape(-1) for x in np.broadcast_arrays(part[:, None], right[None, :]))
-            ok = (labels[i] != labels[j]) & (np.minimum(sizes[i], sizes[j]) * 100 >= PERCENT * np.maximum(sizes[i], sizes[j]))
+            m, n = sizes[part][:, None], sizes[right][None, :]
+            ok = (labels[part][:, None] != labels[right][None, :]) & (np.minimum(m, n) * 100 >= PERCENT * np.maximum(m, n))
             if same:
-                ok &= ids[i] < ids[j]
-            i, j = i[ok], j[ok]
-            enough = np.count_nonzero(regs[i] == regs[j], axis=1) >= EQUAL
-            i, j = i[enough], j[enough]
+                ok &= ids[part][:, None] < ids[right][None, :]
+            if 8 * np.count_nonzero(ok) > ok.size:  # most pairs: register by register, which gathers no rows
+                even = np.zeros(ok.shape, np.uint8)
+                for r in columns:
+                    even += r[part][:, None] == r[right][None, :]
+                ok &= even >= EQUAL
+                at = np.nonzero(ok)
+                i, j = part[at[0]], right[at[1]]
+            else:
+                at = np.nonzero(ok)
+                i, j = part[at[0]], right[at[1]]
+                enough = np.count_nonzero(regs[i] == regs[j], axis=1) >= EQUAL
+                i, j = i[enough], j[enough]
             first = ~(keys[i, :band] == keys[j, :band]).any(axis=1)  # else an earlier band's bucket holds both
             i, j = i[first], j[first]
             score = estimated(sizes[i].astype(float), sizes[j].astype(float), (regs[i] > regs[j]).sum(axis=1), (regs[i] < regs[j]).sum(axis=1))
@@ -211,25 +221,27 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
 def rest_links(classes: DataFrame, buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between the groups of a bucket's members; each pair of members is looked at in the first band it shares.
 
-    Only buckets that hold several groups are looked at. One of more than BLOCK members or BLOCK_SHINGLES shingles is parted by each later band: near documents share several bands, and few others do (two with similarity 0.75 share fewer than two with probability 8e-5, and these alone can be missed there). What is still larger is dealt in pairs of blocks, so no task holds a whole hot bucket. A task gives back links alone, and only such as join groups that its earlier links haven't.
+    Only buckets that hold several groups are looked at. One of more than BLOCK members or BLOCK_SHINGLES shingles is dealt in pairs of blocks, so no task holds a whole hot bucket and yet every pair of its members meets: the size of a bucket decides how it is dealt, not what is found. Its largest group has blocks of its own, which are held against the others' only, so a large group with few others costs in proportion to its members. A task gives back links alone, and only such as join groups that its earlier links haven't.
     """
     named = buckets.join(labels, "id", "left").select("id", "n_shingles", "key", F.coalesce("label", "id").alias("label"))
-
-    def several(rows: DataFrame, by: list[str]) -> DataFrame:
-        kinds = rows.groupBy(*by).agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s")).where("_low <> _high")
-        blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int")
-        return rows.join(kinds.select(*by, blocks.alias("_k")), by)
-
-    rows = cut(several(named, ["key"]))
-    hot = rows.where("_k > 1").select("id", "n_shingles", "key", "label")
-    other = band_rows(classes.join(hot.select("id").distinct(), "id", "left_semi")).select("id", F.col("key").alias("second"))
-    number = lambda c: F.pmod(F.col(c), F.lit(BANDS))
-    parted = several(hot.join(other, "id").where(number("second") > number("key")), ["key", "second"])
-    rows = rows.where("_k = 1").withColumn("second", F.lit(0).cast("long")).unionByName(parted)
-    rows = rows.withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
-    dealt = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("key", "second", "id", "label", "n_shingles", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), (F.col("_i") <= F.col("_j")).alias("_left"), (F.col("_i") >= F.col("_j")).alias("_right"))
+    of = lambda n, s: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(s) / BLOCK_SHINGLES)).cast("int")
+    kinds = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s")).where("_low <> _high")
+    rows = cut(named.join(kinds.select("key", of("_n", "_s").alias("_k")), "key"))
+    hot = rows.where("_k > 1").drop("_k")
+    groups = hot.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
+    tops = groups.groupBy("key").agg(F.max(F.struct("_n", "label", "_s")).alias("_top"), F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    tops = tops.select("key", F.col("_top.label").alias("_of"), F.col("_top._n").alias("_tn"), F.col("_top._s").alias("_ts"), (F.col("_n") - F.col("_top._n")).alias("_n"), (F.col("_s") - F.col("_top._s")).alias("_s"))
+    hot = hot.join(tops.select("key", "_of", of("_tn", "_ts").alias("_first"), of("_n", "_s").alias("_more")), "key")
+    place = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    top = F.col("label") == F.col("_of")
+    end = F.col("_first") + F.col("_more") - 1  # blocks of the largest group come first, then the others'
+    hot = hot.withColumns({"_i": F.when(top, place("_first")).otherwise(F.col("_first") + place("_more")), "_js": F.sequence(F.when(top, F.col("_first")).otherwise(F.lit(0)), end)})
+    small = rows.where("_k = 1").withColumns({"_i": F.lit(0), "_js": F.array(F.lit(0))})
+    columns = ["key", "id", "label", "n_shingles", "_i"]
+    dealt = small.select(*columns, "_js").unionByName(hot.select(*columns, "_js")).select(*columns, F.explode("_js").alias("_j"))
+    dealt = dealt.select("key", "id", "label", "n_shingles", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), (F.col("_i") <= F.col("_j")).alias("_left"), (F.col("_i") >= F.col("_j")).alias("_right"))
     dealt = dealt.join(classes.select("id", "regs").join(sets, "id"), "id")
-    return dealt.groupBy("key", "second", "_lo", "_hi").applyInPandas(_block_links, "a long, b long")
+    return dealt.groupBy("key", "_lo", "_hi").applyInPandas(_block_links, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -181,3 +181,53 @@ def test_query_equals_its_sql(spark, small):
     got = neardup.query(spark, small)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+
+
+def crafted(spark, rng):
+    """Classes that all share their first band and no other: two (1 and 2) are near by sets and registers, a group of 20 has one label, and others are near to none."""
+    n = neardup.REGISTERS
+    base = rng.integers(1000, 2000, n)
+    near = base + np.where(np.arange(n) % neardup.ROWS == 3, np.where(np.arange(n) // neardup.ROWS % 2, 1, -1), 0)
+    near[: neardup.ROWS] = base[: neardup.ROWS]
+    rows = [(1, base, np.arange(100)), (2, near, np.arange(8, 108))]
+    rows += [(i, np.concatenate([base[: neardup.ROWS], rng.integers(3000, 60000, n - neardup.ROWS)]), rng.integers(1000, 10**9, 100)) for i in range(3, 40)]
+    classes = spark.createDataFrame([(i, 100, r.astype(np.uint16).tobytes()) for i, r, _ in rows], "id long, n_shingles long, regs binary")
+    sets = spark.createDataFrame([(i, np.unique(x.astype(np.uint64)).tobytes()) for i, _, x in rows], "id long, set binary")
+    labels = spark.createDataFrame([(i, 3) for i in range(4, 23)], "id long, label long")
+    shared = [set(neardup.band_keys(r.astype(np.uint16)[None, :])[0].tolist()) for _, r, _ in rows]
+    assert len(shared[0] & shared[1]) == 1
+    return classes, neardup.band_rows(classes), labels, sets
+
+
+@pytest.mark.parametrize("block", (2048, 2))
+def test_large_buckets_give_the_links_of_small_ones(spark, monkeypatch, block):
+    """Two near documents that share a single band are linked whatever the size of its bucket."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    links = neardup.rest_links(*crafted(spark, np.random.default_rng(8))).collect()
+    assert {frozenset(r) for r in links} == {frozenset((1, 2))}
+
+
+def test_registers_are_compared_alike_in_dense_and_sparse_blocks(spark, monkeypatch):
+    """Chunks of few admissible pairs compare gathered rows, others register by register."""
+    classes, buckets, labels, sets = crafted(spark, np.random.default_rng(9))
+    first = buckets.groupBy("key").count().where("count > 2").first()["key"]
+    rows = classes.join(sets, "id").join(labels, "id", "left").toPandas().assign(key=first, _lo=0, _hi=0, _left=True, _right=True)
+    rows["label"] = rows["label"].fillna(rows["id"]).astype("int64")
+    for at_once in (1, 1 << 15):
+        monkeypatch.setattr(neardup, "AT_ONCE", at_once)
+        assert [set(x) for x in neardup._block_links(rows).to_numpy().tolist()] == [{1, 2}]
+    rows["label"] = np.where(rows["id"] == 1, 1, 2)  # one against all others: few pairs that count
+    assert [set(x) for x in neardup._block_links(rows).to_numpy().tolist()] == [{1, 2}]
+
+
+def single_band(n=60054):
+    """Three documents, of which the second is near to both others; with this n it shares a single band with the third, and the first, which isn't near to the third, is the hub of that bucket."""
+    w = [f"w{n}x{i}" for i in range(64)]
+    return [(1, " ".join(w[:56] + [f"h{n}x{i}" for i in range(8)])), (2, " ".join(w)), (3, " ".join([f"y{n}x{i}" for i in range(8)] + w[8:]))]
+
+
+def test_pairs_of_a_single_band_in_a_large_bucket(spark, monkeypatch):
+    keys = [neardup.band_keys(neardup.registers(np.unique(common.shingles(t.encode())))[None, :])[0] for _, t in single_band()]
+    assert [(keys[i] == keys[j]).sum() for i, j in ((1, 2), (0, 2))] == [1, 1]
+    monkeypatch.setattr(neardup, "BLOCK", 1)
+    check(spark, single_band())
