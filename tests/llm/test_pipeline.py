@@ -1,9 +1,10 @@
 from collections import Counter
 
 import corpus_pipeline
-from lexspark.llm import common, quality, secrets
+from lexspark.llm import common, neardup, quality, secrets
 
 from . import brute
+from .test_neardup import single_band
 from .test_tokens import check_packed
 
 
@@ -54,3 +55,10 @@ def test_stages_hold_odd_rows(spark, small, odd_docs):
         if name in ("decontamination", "secret scan"):
             assert set(left) == known and sum(r.text is None for r in rows) == 1
     assert corpus_pipeline.STAGES[-1][1](spark, odd_docs, small).count() >= len(known)
+
+
+def test_near_copies_go_whatever_the_size_of_their_bucket(spark, small, monkeypatch):
+    docs = spark.createDataFrame([(*r, "en") for r in single_band()], "doc_id long, text string, lang string")
+    for block in (2048, 1):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        assert [r.doc_id for r in corpus_pipeline.unique(spark, docs, small).collect()] == [1]
