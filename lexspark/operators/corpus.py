@@ -26,6 +26,12 @@ def token_counts(lines: DataFrame, column: str = "line", tokens=T.tokens) -> Dat
     return token_rows(lines, column, tokens).groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def slot_counts(slots: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(word, cnt) of arrays of slots: token_counts of all words with a letter, without parting the texts again."""
+    rows = slots.select(F.explode(tokens).alias("word")).where("word <> ''")
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def merged_counts(*tables: DataFrame) -> DataFrame:
     """(word, cnt) summed over frequency tables."""
     out = tables[0]

@@ -11,7 +11,7 @@ from lexspark.functions import text as T
 def phrase_entries(pairs: DataFrame, lexicon: DataFrame, min_count: int = 5, match: str = "exact") -> DataFrame:
     """(hanlo, rime_key, weight) of frequent pairs whose words are both in the lexicon: their weightiest texts joined, unless the entry is there already.
 
-    match "exact" compares the pairs' bare words with codes as they are (few meet, as codes carry tones); "toneless" compares them without tones, with hyphens as spaces.
+    match "exact" compares the pairs' bare words with codes as they are (few meet, as codes carry tones); "toneless" compares them without tones, with hyphens as spaces. The lexicon is read three times, so it should be a table or stored.
     """
     code = F.col("rime_key")
     key = code if match == "exact" else T.strip_all_tones(code)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 from lexspark.operators import corpus, lexicon, phrases
+from lexspark.session import stored
 from lexspark.sources.sinks import sentence_line
 
 from .registry import register
@@ -104,10 +105,11 @@ SELECT a.text || b.text AS hanlo, a.code || ' ' || b.code AS rime_key, max(trunc
 FROM pairs JOIN best a ON a.k = replace(w1, '-', ' ') JOIN best b ON b.k = replace(w2, '-', ' ') WHERE cnt >= 5 AND NOT EXISTS (SELECT 1 FROM lex WHERE lex.text = a.text || b.text AND lex.code = a.code || ' ' || b.code) GROUP BY 1, 2""",
 )
 def phrase_entries(spark, sf_dir):
-    """Pairs of documents' words, with the documents' own words as lexicon."""
-    docs = texts(spark, sf_dir)
-    pairs = corpus.pair_counts(docs.select(T.slots(F.col("text")).alias("tokens")), min_count=5)
-    lex = corpus.token_counts(docs, "text", T.edge_stripped).select(F.concat(F.lit("字"), F.lower("word")).alias("hanlo"), F.col("word").alias("rime_key"), F.col("cnt").alias("weight"), F.col("word").alias("seq"))
+    """Pairs of documents' words, with the documents' own words as lexicon. Texts are parted into words once, and the lexicon, which the operator reads three times, is made of these once."""
+    slots = stored(texts(spark, sf_dir).select(T.slots(F.col("text")).alias("tokens")), "slots")
+    pairs = corpus.pair_counts(slots, min_count=5)
+    words = corpus.slot_counts(slots)
+    lex = stored(words.select(F.concat(F.lit("字"), F.lower("word")).alias("hanlo"), F.col("word").alias("rime_key"), F.col("cnt").alias("weight"), F.col("word").alias("seq")), "lexicon")
     return phrases.phrase_entries(pairs, lex, match="toneless")
 
 

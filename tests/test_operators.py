@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 from lexspark.operators import candidates, corpus, glossmap, lexicon, lighttone, lookup, phrases
+from lexspark.plans import registry
 from lexspark.streaming import counts, sessions
 
 
@@ -257,3 +258,15 @@ def test_counts_of_a_stream_equal_those_of_a_table(spark, tmp_path):
     run = counts.token_counts(counts.line_stream(spark, f"file://{tmp_path}/in", 1)).writeStream.format("memory").queryName("running").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {r.word: r.cnt for r in spark.table("running").collect()} == {"gua2": 2, "beh4": 1, "khi3": 1}
+
+
+def test_phrases_part_the_texts_once(spark, tmp_path):
+    """The query's plan reads stored words, the table of documents isn't read again by it; slots give the counts of edge_stripped."""
+    texts = ["Gua2 beh4-khi3, (Tai5-uan5) 12 x", "", " a1 ... 字b字 c--", None, "beh4　khi3 x "]
+    docs = rows(spark, [(i, t) for i, t in enumerate(texts * 5)], "doc_id long, text string")
+    want = {tuple(r) for r in corpus.token_counts(docs, "text", T.edge_stripped).collect()}
+    assert {tuple(r) for r in corpus.slot_counts(docs.select(T.slots(F.col("text")).alias("tokens"))).collect()} == want and want
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = registry.queries()["phrase_entries"](spark, f"file://{tmp_path}")
+    assert not [x for x in found.inputFiles() if "documents.parquet" in x]
+    assert found.count() > 0
