@@ -231,3 +231,19 @@ def test_pairs_of_a_single_band_in_a_large_bucket(spark, monkeypatch):
     assert [(keys[i] == keys[j]).sum() for i, j in ((1, 2), (0, 2))] == [1, 1]
     monkeypatch.setattr(neardup, "BLOCK", 1)
     check(spark, single_band())
+
+
+def above_the_block(copies=2500):
+    """The documents of single_band and near copies of the first that differ in the last word: the bucket that 2 and 3 share holds more than BLOCK members."""
+    docs = single_band()
+    words = docs[0][1].split(" ")
+    return docs + [(i, " ".join([*words[:-1], f"v{i}"])) for i in range(4, 4 + copies)]
+
+
+def test_a_bucket_above_the_real_block_loses_no_pair(spark):
+    docs = above_the_block()
+    keys = neardup.band_keys(np.stack([neardup.registers(np.unique(common.shingles(t.encode()))) for _, t in docs]))
+    band = np.flatnonzero(keys[1] == keys[2])
+    assert len(band) == 1 and (keys[:, band[0]] == keys[1, band[0]]).sum() > neardup.BLOCK
+    got = neardup.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(d, 60, 1, d == 1) for d, _ in docs}

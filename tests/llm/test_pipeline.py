@@ -4,7 +4,7 @@ import corpus_pipeline
 from lexspark.llm import common, neardup, quality, secrets
 
 from . import brute
-from .test_neardup import single_band
+from .test_neardup import above_the_block, single_band
 from .test_tokens import check_packed
 
 
@@ -62,3 +62,8 @@ def test_near_copies_go_whatever_the_size_of_their_bucket(spark, small, monkeypa
     for block in (2048, 1):
         monkeypatch.setattr(neardup, "BLOCK", block)
         assert [r.doc_id for r in corpus_pipeline.unique(spark, docs, small).collect()] == [1]
+
+
+def test_near_copies_go_from_a_bucket_above_the_real_block(spark, small):
+    docs = spark.createDataFrame([(*r, "en") for r in above_the_block()], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.unique(spark, docs, small).collect()] == [1]
